@@ -48,9 +48,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     length = F.least(F.size("w"), F.lit(WINDOW))
     each = w.select("item_id", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("win"))
     each = each.groupBy("length", "win").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    f = F.lit(None).cast("long")
-    for n in range(1, WINDOW + 1):
-        f = F.when(F.col("length") == n, _fingerprint(_grams(F.col("win"), min(K, n)), F.lit(0), n)).otherwise(f)
+    # Of fewer than K words the first run takes what there is.
+    f = F.array_min(F.slice(_grams(F.col("win"), K), 1, F.greatest(F.col("length") - K + 1, F.lit(1))))
     return each.withColumn("f", f)
 
 
