@@ -27,6 +27,8 @@ LEAST_DOCS = 4
 #: feature's gradient.
 L1 = 0.2
 STEPS = 200
+#: Features below this share of the largest weight are noise of the sample.
+WEAK = 0.25
 
 
 def _features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -69,21 +71,32 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     kinds, counts = np.unique(flat, return_counts=True)
     kinds = kinds[counts >= max(LEAST_DOCS, len(y) // 800)]
-    l1 = L1 / np.sqrt(len(y))
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.searchsorted(kinds, flat)
     known = (at < len(kinds)) & (kinds[np.minimum(at, len(kinds) - 1)] == flat) if len(kinds) else np.zeros(len(flat), bool)
     doc, at = doc[known], at[known]
     above = np.array([[v >= g for g in grades[1:]] for v in y], dtype=float)
-    w, t = np.zeros(len(kinds)), -np.log((above.mean(axis=0) + 1e-6) / (1 - above.mean(axis=0) + 1e-6))
-    # Common features have large curvature: steps by feature.
-    curve = np.bincount(at, minlength=len(kinds)) / len(y) * 0.25 * len(grades[1:]) * 12 + 1e-9
+    w, t = _descend(doc, at, len(kinds), above, L1 / np.sqrt(len(y)), 0.0)
+    # The L1 weight chose the features; without it their weights aren't shrunk.
+    keep = np.flatnonzero(np.abs(w) >= WEAK * np.abs(w).max()) if w.any() else np.zeros(0, np.int64)
+    place = np.full(len(kinds), -1)
+    place[keep] = np.arange(len(keep))
+    used = place[at] >= 0
+    w, t = _descend(doc[used], place[at[used]], len(keep), above, 0.0, 1.0 / len(y))
+    return Model(grades, kinds[keep], w, t)
+
+
+def _descend(doc: np.ndarray, at: np.ndarray, n: int, above: np.ndarray, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by accelerated proximal gradient steps; features
+    that many documents hold have more curvature and take smaller steps."""
+    rows, rate = len(above), above.mean(axis=0)
+    w, t = np.zeros(n), -np.log((rate + 1e-6) / (1 - rate + 1e-6))
+    curve = np.bincount(at, minlength=n) / rows * 0.25 * above.shape[1] * 12 + l2 + 1e-9
     vw, vt, k = w.copy(), t.copy(), 1.0
     for _ in range(STEPS):
-        x = np.bincount(doc, weights=vw[at], minlength=len(y))
-        p = 1 / (1 + np.exp(np.clip(vt[None, :] - x[:, None], -500, 500)))
-        gap = p - above
-        slope = np.bincount(at, weights=gap.sum(axis=1)[doc], minlength=len(kinds)) / len(y)
+        x = np.bincount(doc, weights=vw[at], minlength=rows)
+        gap = 1 / (1 + np.exp(np.clip(vt[None, :] - x[:, None], -500, 500))) - above
+        slope = np.bincount(at, weights=gap.sum(axis=1)[doc], minlength=n) / rows + l2 * vw
         new = vw - slope / curve
         new = np.sign(new) * np.maximum(np.abs(new) - l1 / curve, 0)
         new_t = np.maximum.accumulate(vt + gap.mean(axis=0) * 2)
@@ -92,8 +105,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
             k2 = 1.0  # momentum points uphill: start it anew
         vw, vt = new + (k - 1) / k2 * (new - w), new_t
         w, t, k = new, new_t, k2
-    keep = w != 0
-    return Model(grades, kinds[keep], w[keep], t)
+    return w, t
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
