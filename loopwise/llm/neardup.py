@@ -238,3 +238,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     rows = rows.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def op9(spark, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), size=4)
+
+
+ORACLE = r"""
+with recursive d as materialized (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') g from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) i from d where len(w) > 0)),
+n as materialized (select doc_id, count(*) n from s group by 1),
+p as materialized (select a.doc_id a, b.doc_id b, count(*) shared from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+e as materialized (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * shared >= 80 * (x.n + y.n - shared)),
+c(v, low) using key (v) as (
+  select doc_id, doc_id from d union all
+  select e.b, min(c.low) from c join e on e.a = c.v join recurring.c o on o.v = e.b where c.low < o.low group by e.b)
+select d.doc_id, coalesce(n, 0)::bigint n_shingles, low component_id, low = d.doc_id kept
+from d join c on c.v = d.doc_id left join n on n.doc_id = d.doc_id
+"""
