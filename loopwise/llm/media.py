@@ -167,8 +167,8 @@ def aligned(prints: DataFrame, wanted, votes: int = VOTES, overlap: float = OVER
     both = best.join(classes.select(F.col("class_id").alias("query"), F.col("prints").alias("a")), "query").join(classes.select("class_id", F.col("prints").alias("b")), "class_id")
     wrong, n = wrong_bits(F.col("a"), F.col("b"), F.col("offset"))
     pairs = both.withColumn("n", n).where(F.col("n") >= F.least(F.size("a"), F.size("b")) * overlap).withColumn("bit_error", wrong / (F.col("n") * 32)).where(F.col("bit_error") <= errors)
-    low = classes.select("k", "prints", "class_id")
-    members = prints.withColumn("k", key).join(low.withColumnRenamed("prints", "p2"), (F.col("k") == low.k) & (F.col("prints") == F.col("p2")), "left")
+    low = classes.select(F.col("k").alias("k2"), F.col("prints").alias("p2"), "class_id")
+    members = prints.withColumn("k", key).join(low, (F.col("k") == F.col("k2")) & (F.col("prints") == F.col("p2")), "left")
     members = members.select("rec_id", F.coalesce(F.size("prints"), F.lit(0)).cast("long").alias("n_prints"), F.coalesce("class_id", "rec_id").alias("class_id"))
     return members, pairs.select("query", "class_id", "offset", "votes", "bit_error")
 
