@@ -15,10 +15,16 @@ the k smallest distinct values.  Steps, all on Spark:
 4. Each list links its members to a leader; links whose union sketch estimates
    enough similarity are verified on the full sets, components are formed, and
    the lists are read again: pairs whose ends lie in one component already are
-   done.  After `rounds` leaders, all pairs across components of a list that
-   remain are verified, so no link between components is lost and a group of
-   n copies costs n pairs, not n squared.
-5. Components by alternating large-star and small-star steps.
+   done.  A first leader is the member with the fewest values of its own: the
+   original of its near copies.  A group of n copies so costs n pairs, not n
+   squared.
+5. Classes of lists that still span components get sketches of `FINE` values.
+   A set that fits into one shares at least `percent` of it with any partner
+   (larger sets: five standard deviations less), so only the rarest fifth
+   indexes: pairs of those lists across components are all verified and no link
+   between components is lost, yet texts that share a passage of less than
+   four fifths of their length meet in no list.
+6. Components by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -33,6 +39,11 @@ from pyspark.sql import functions as F
 
 from loopwise.llm import _store, _text
 
+#: Values of the sketches that decide what the leaders left open.
+FINE = 256
+#: Most sets that hold a rare value.
+RARE = 50
+
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch array<long>"
 
 
@@ -166,6 +177,45 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, k: i
     return verified.where(F.col("both") * 100 >= (F.size("va") + F.size("vb") - F.col("both")) * percent).select("a", "b")
 
 
+def _rare_lists(sets: DataFrame, spare) -> DataFrame:
+    """Inverted lists (node, n_shingles, alone, rare, v, df) of `sets(node,
+    n_shingles, sketch)`: a set is under its rarest size - spared + 1 values,
+    where `spare` is a column, the values that it shares with any partner at
+    least.  alone counts its values that no other set holds, which fill places
+    but no list, and rare those that at most RARE sets hold."""
+    entries = sets.select("node", F.explode("sketch").alias("v"))
+    shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    held = entries.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
+    rows = sets.withColumn("need", F.size("sketch") - spare + 1).withColumn("m", F.size("sketch")).drop("sketch").join(held, "node")
+    rows = rows.withColumn("alone", F.col("m") - F.size("held")).withColumn("room", F.col("need") - F.col("alone")).where("room > 0")
+    rows = rows.withColumn("rare", F.col("m") - F.size(F.filter("held", lambda x: x["df"] > RARE)))
+    return rows.select("node", "n_shingles", "alone", "rare", F.explode(F.slice("held", F.lit(1), F.col("room").cast("int"))).alias("e")).select("node", "n_shingles", "alone", "rare", "e.v", "e.df")
+
+
+def _open_pairs(docs: DataFrame, classes: DataFrame, left: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[str]]:
+    """Pairs across components among `left(node, component)` by fine sketches."""
+    ids = classes.select("doc_id", "node", "set_hi").join(left.select("node"), "node")
+    sets = full_sets(docs, ids, size).dropDuplicates(["node"]).select("node", F.size("shingles").alias("n_shingles"), F.slice("shingles", 1, FINE).alias("sketch"))
+    sets, path = _store.written(sets, "fine")
+    n, m = F.col("n_shingles"), F.size("sketch")
+    slack = 5 * (percent * (100 - percent) / FINE) ** 0.5
+    spare = F.when(n * 100 <= FINE * percent, F.ceil(n * percent / 100)).otherwise(F.floor(m * (percent - slack) / 100)).cast("int")
+    # Sets under a common value are under all their rare ones: two that share a
+    # rare one meet there as well, and others share at most what isn't rare.
+    lists = _rare_lists(sets, spare).join(left, "node")
+    most = F.when(n <= FINE, n - F.when(F.col("df") > RARE, F.col("rare")).otherwise(F.col("alone"))).otherwise(n)
+    lists, lists_at = _store.written(lists.select("v", "node", "component", "n_shingles", most.alias("most")), "fine-lists")
+    # A set that is too poor for the smallest partner of a list leaves it.
+    least = lists.groupBy("v").agg(F.min("n_shingles").alias("n_least"))
+    able = lists.join(least, "v").where(F.col("most") * (100 + percent) - n * percent >= F.col("n_least") * percent).drop("n_least")
+    able, able_at = _store.written(able, "able")
+    spans = able.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("v")
+    x = able.join(spans, "v")
+    y = able.select("v", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("n_shingles").alias("n2"), F.col("most").alias("most2"))
+    apart = F.expr("node < node2 and component <> component2") & (F.least("most", "most2", "n_shingles", "n2") * (100 + percent) >= (F.col("n_shingles") + F.col("n2")) * percent)
+    return x.join(y, "v").where(apart).select(F.col("node").alias("a"), F.col("node2").alias("b")), [path, lists_at, able_at]
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs(doc_id, text)`.
 
@@ -185,16 +235,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     classes, classes_at = _store.written(
         named.where("doc_id = low").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).select(key.alias("node"), "*"), "classes"
     )
-    # Rarest values first; those of one class only are counted, not stored.
-    entries = classes.select("node", F.explode("sketch").alias("v"))
-    shared, shared_at = _store.written(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "values")
-    held = entries.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
-    m = F.size("sketch")
-    room = F.floor(m / 2) + 1 - (m - F.size("held"))
-    lists, lists_at = _store.written(
-        classes.select("node", "n_shingles", "sketch").join(held, "node").where(room > 0).select("node", "n_shingles", F.explode(F.slice("held", F.lit(1), room.cast("int"))["v"]).alias("v")), "lists"
-    )
-    _store.drop(spark, shared_at)
+    half = F.floor(F.size("sketch") / 2).cast("int")
+    lists, lists_at = _store.written(_rare_lists(classes.select("node", "n_shingles", "sketch"), half), "lists")
     # A doc_id of several rows is one document: its classes are linked.
     several = some.select("doc_id", key.alias("node"))
     firsts = several.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("c")).where("a <> c").select("doc_id", "a")
@@ -207,7 +249,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         else:
             at = lists.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         at, at_path = _store.written(at, "at")
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "component")
+        order = F.struct((F.col("alone") if turn == 0 else F.lit(0)).alias("first"), F.xxhash64("node", F.lit(turn)).alias("order"), "node", "component")
         open_lists, open_path = _store.written(at.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(order).alias("leader")).where("c0 <> c1").select("v", "leader"), "open")
         paths += [at_path, open_path]
         if open_lists.isEmpty():
@@ -218,10 +260,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         if turn < rounds:
             pairs = at.join(open_lists, "v").where("component <> leader.component").select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
         else:
-            x = at.join(open_lists.select("v"), "v")
-            y = x.select("v", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("n_shingles").alias("n2"))
-            apart = F.expr("node < node2 and component <> component2") & (F.least("n_shingles", "n2") * 100 >= F.greatest("n_shingles", "n2") * percent)
-            pairs = x.join(y, "v").where(apart).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+            left = at.join(open_lists.select("v"), "v").select("node", "component").distinct()
+            pairs, fine_at = _open_pairs(docs, classes, left, size, percent)
+            paths += fine_at
         fresh, path = _store.written(links(docs, classes, pairs.distinct(), size, k, percent), "links")
         found = found.union(fresh)
         paths.append(path)
