@@ -41,8 +41,6 @@ from loopwise.llm import _store, _text
 
 #: Values of the sketches that decide what the leaders left open.
 FINE = 256
-#: Most sets that hold a rare value.
-RARE = 50
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch array<long>"
 
@@ -178,18 +176,18 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, k: i
 
 
 def _rare_lists(sets: DataFrame, spare) -> DataFrame:
-    """Inverted lists (node, n_shingles, alone, rare, v, df) of `sets(node,
+    """Inverted lists (node, n_shingles, alone, v, before) of `sets(node,
     n_shingles, sketch)`: a set is under its rarest size - spared + 1 values,
     where `spare` is a column, the values that it shares with any partner at
     least.  alone counts its values that no other set holds, which fill places
-    but no list, and rare those that at most RARE sets hold."""
+    but no list, and before its values rarer than v, alone ones included."""
     entries = sets.select("node", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     held = entries.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
     rows = sets.withColumn("need", F.size("sketch") - spare + 1).withColumn("m", F.size("sketch")).drop("sketch").join(held, "node")
     rows = rows.withColumn("alone", F.col("m") - F.size("held")).withColumn("room", F.col("need") - F.col("alone")).where("room > 0")
-    rows = rows.withColumn("rare", F.col("m") - F.size(F.filter("held", lambda x: x["df"] > RARE)))
-    return rows.select("node", "n_shingles", "alone", "rare", F.explode(F.slice("held", F.lit(1), F.col("room").cast("int"))).alias("e")).select("node", "n_shingles", "alone", "rare", "e.v", "e.df")
+    rows = rows.select("node", "n_shingles", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("room").cast("int"))["v"]).alias("at", "v"))
+    return rows.select("node", "n_shingles", "alone", "v", (F.col("alone") + F.col("at")).alias("before"))
 
 
 def _open_pairs(docs: DataFrame, classes: DataFrame, left: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[str]]:
@@ -200,10 +198,10 @@ def _open_pairs(docs: DataFrame, classes: DataFrame, left: DataFrame, size: int,
     n, m = F.col("n_shingles"), F.size("sketch")
     slack = 5 * (percent * (100 - percent) / FINE) ** 0.5
     spare = F.when(n * 100 <= FINE * percent, F.ceil(n * percent / 100)).otherwise(F.floor(m * (percent - slack) / 100)).cast("int")
-    # Sets under a common value are under all their rare ones: two that share a
-    # rare one meet there as well, and others share at most what isn't rare.
+    # Two sets meet under the rarest value that both hold, and there they share
+    # nothing of what stands before it in either.
     lists = _rare_lists(sets, spare).join(left, "node")
-    most = F.when(n <= FINE, n - F.when(F.col("df") > RARE, F.col("rare")).otherwise(F.col("alone"))).otherwise(n)
+    most = F.when(n <= FINE, n - F.col("before")).otherwise(n)
     lists, lists_at = _store.written(lists.select("v", "node", "component", "n_shingles", most.alias("most")), "fine-lists")
     # A set that is too poor for the smallest partner of a list leaves it.
     least = lists.groupBy("v").agg(F.min("n_shingles").alias("n_least"))
