@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loopwise.llm import _store, _text
 
@@ -31,7 +32,7 @@ BLOCK_ROWS = 16
 FILL_PASSES = 8
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """Number of `[^\\x20\\x09-\\x0D]+`; null and empty texts have 0."""
     counts = [np.diff(part.words()[2]) for part in _text.slices(text)]
