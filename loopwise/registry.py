@@ -1,6 +1,5 @@
 """The registered queries of the route library and their SQL."""
 
-from __future__ import annotations
+from loopwise.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
