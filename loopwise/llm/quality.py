@@ -23,6 +23,8 @@ SAMPLE = 20_000
 #: Shares of the pooled covariance and of the identity in a class's covariance.
 TO_POOLED, TO_IDENTITY = 0.2, 0.05
 
+FEATURES = 12
+
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -91,7 +93,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
                 ]
             )
         )
-    return np.concatenate(out) if out else np.zeros((0, 12))
+    return np.concatenate(out) if out else np.zeros((0, FEATURES))
 
 
 @dataclass
@@ -144,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
 
     rows = _learn.labelled(docs, labels.withColumn("quality", F.col("quality").cast("int")), "quality", sample, held_out)
     got = rows.mapInArrow(run, "label int, x array<double>").toPandas()
-    return fit(np.array(got["x"].tolist()).reshape(len(got), -1), got["label"].to_numpy())
+    x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, FEATURES))
+    return fit(x, got["label"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
