@@ -113,33 +113,32 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return wanted.select("text", "node", "set_hi").mapInArrow(run, "node long, shingles array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of the
-    undirected `edges(a, b)`.  Alternates large-star and small-star steps, each
-    written to the shared folder, until the edges no longer change."""
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, component) of the undirected `edges(a, b)` as a written table, and
+    its path: the smallest node reachable, for every node but the smallest
+    itself.  Alternates large-star and small-star steps, each written to the
+    shared folder, until the edges form stars."""
     spark = edges.sparkSession
-    current, path = _store.written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
+    current, path = edges.select("a", "b").where("a <> b"), None
     while True:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # The minima are written so that both sides of the join are plain
         # exchanges, of which AQE splits the partition of a node with many edges.
-        low, low_at = _store.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low, low_at = _store.written(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above")), "low")
+        # In stars a node has one smaller neighbour and no other, or none.
+        if low.where("below > 1 or (below = 1 and above > 0)").isEmpty():
+            _store.drop(spark, *([path] if path else []))
+            return low.where("m < u").select(F.col("u").alias("node"), F.col("m").alias("component")), low_at
         # Large star: larger neighbours hang on the smallest of the neighbourhood.
-        down, down_at = _store.written(both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = low.select("u", F.least("u", "m").alias("m"))
+        down, down_at = _store.written(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         # Small star: a node's smaller neighbours and itself hang on the smallest.
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         star = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        following, new_path = _store.written(star, "edges")
-        state = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        _store.drop(spark, path, low_at, down_at)
-        current, path = following, new_path
-        if state == seen or not state[0]:
-            break
-        seen = state
-    # A star: every node but the root has one edge, to the root.
-    return current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        current, star_at = _store.written(star, "edges")
+        _store.drop(spark, low_at, down_at, *([path] if path else []))
+        path = star_at
 
 
 def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -227,12 +226,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     marks, _ = _store.written(sketches(docs, size, k), "sketches")
     some = marks.where("n_shingles > 0 and doc_id is not null")
     key = F.xxhash64("set_hi", "set_lo")
-    # node: a class of equal sets, named by its smallest document.
-    members = some.select("doc_id", "set_hi", "set_lo").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id"))
-    named = some.join(members.withColumnRenamed("doc_id", "low"), ["set_hi", "set_lo"])
-    classes, classes_at = _store.written(
-        named.where("doc_id = low").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).select(key.alias("node"), "*"), "classes"
-    )
+    # node: a class of equal sets, named by its smallest document; equal sets
+    # have the same sketch, so any of theirs serves.
+    one = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes, classes_at = _store.written(one.select(key.alias("node"), "*"), "classes")
     half = F.floor(F.size("sketch") / 2).cast("int")
     lists, lists_at = _store.written(_rare_lists(classes.select("node", "n_shingles", "sketch"), half), "lists")
     # A doc_id of several rows is one document: its classes are linked.
@@ -252,7 +249,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         paths += [at_path, open_path]
         if open_lists.isEmpty():
             if comp is None:
-                comp, comp_at = _store.written(components(found), "components")
+                comp, comp_at = components(found)
                 paths.append(comp_at)
             break
         if turn < rounds:
@@ -262,10 +259,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
             pairs, fine_at = _open_pairs(docs, classes, left, size, percent)
             paths += fine_at
         fresh, path = _store.written(links(docs, classes, pairs.distinct(), size, k, percent), "links")
-        found = found.union(fresh)
         paths.append(path)
         if comp is None or not fresh.isEmpty():
-            comp, comp_at = _store.written(components(found), "components")
+            # Stars found so far say all that the earlier links said.
+            known = found if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comp, comp_at = components(known.union(fresh))
             paths.append(comp_at)
     # From classes to documents: the smallest document of the component.
     reps = classes.select("node", "doc_id").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))

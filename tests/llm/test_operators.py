@@ -47,6 +47,20 @@ def test_near_duplicates(spark, docs, empty):
     assert len(got) == len(odd_rows()) and neardup.near_duplicates(empty).count() == 0
 
 
+def test_components_equal_brute_force(spark):
+    chance = np.random.default_rng(7)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(180, 260)] + [(3, 3), (5, 4), (4, 5), (4, 5)]
+    edges += [tuple(map(int, x)) for x in chance.integers(300, 400, (70, 2))]
+    low = {v: v for e in edges for v in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = [tuple(r) for r in neardup.components(table)[0].collect()]
+    assert sorted(got) == sorted((v, c) for v, c in low.items() if v != c)
+    assert neardup.components(table.limit(0))[0].isEmpty()
+
+
 def test_contamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(f"alpha{i} beta" for i in range(9))), (2, "one two"), (3, None), (4, "..."), (1, "one two")], "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(docs, items).collect()}
