@@ -116,3 +116,24 @@ def similar_pairs(coverage: DataFrame) -> DataFrame:
     shared = met.groupBy("request_id", "a", "b").agg(F.sum((F.least("hi", "hi2") - F.greatest("lo", "lo2")) * F.least("times", "times2")).alias("shared_m"))
     both = shared.join(totals.select(F.col("route_id").alias("a"), F.col("total").alias("total_a")), "a").join(totals.select(F.col("route_id").alias("b"), F.col("total").alias("total_b")), "b")
     return both.withColumn("dice", F.least(F.lit(1.0), 2 * F.col("shared_m") / (F.col("total_a") + F.col("total_b"))))
+
+
+def edge_usage(segments: DataFrame) -> DataFrame:
+    """Per route: how many physical segments it uses, its metres, and the metres
+    beyond the longest single traversal of each."""
+    per_edge = segments.groupBy("route_id", "physical_id").agg(F.sum("length").alias("total"), F.max("length").alias("longest"))
+    return per_edge.groupBy("route_id").agg(F.count("*").alias("n_edges"), F.sum("total").alias("length"), F.sum(F.col("total") - F.col("longest")).alias("repeated_m"))
+
+
+def recorded_burden(segments: DataFrame) -> DataFrame:
+    """Metres of crossings, steps, unpaved and unlit segments per route."""
+    parts = {"crossing_m": F.col("crossing"), "steps_m": F.col("steps"), "unpaved_m": F.col("surface").isin(UNPAVED), "unlit_m": F.col("lit") == "no"}
+    return segments.groupBy("route_id").agg(*[F.sum(F.when(c, F.col("length")).otherwise(0.0)).alias(n) for n, c in parts.items()])
+
+
+def variation(pairs: DataFrame) -> DataFrame:
+    """How two routes that share metres differ: in `direction` (each contains
+    the other), in `distance` (the longer contains the shorter) or in `path`."""
+    has_a, has_b = F.col("shared_m") >= 0.999 * F.col("total_a"), F.col("shared_m") >= 0.999 * F.col("total_b")
+    extends = (has_b & (F.col("total_a") > F.col("total_b") + 0.5)) | (has_a & (F.col("total_b") > F.col("total_a") + 0.5))
+    return pairs.withColumn("variation", F.when(has_a & has_b, "direction").when(extends, "distance").otherwise("path"))

@@ -30,6 +30,16 @@ def snap(points: DataFrame, id: str, edges: DataFrame, most: float = 100.0) -> D
     return out.withColumn("place", F.when(F.col("t") < 0.001, "start").when(F.col("t") > 0.999, "end").when(F.col("t").isNotNull(), "inside").otherwise("none"))
 
 
+def edges_near_points(edges: DataFrame, points: DataFrame, most: float) -> DataFrame:
+    """edge_id of the edges of which an end or the middle lies within `most`
+    metres of any point(lat, lon)."""
+    middle = F.struct(((F.col("lat1") + F.col("lat2")) / 2).alias("lat"), ((F.col("lon1") + F.col("lon2")) / 2).alias("lon"))
+    ends = [F.struct(F.col(f"lat{i}").alias("lat"), F.col(f"lon{i}").alias("lon")) for i in (1, 2)]
+    tried = edges.select("edge_id", F.explode(F.array(ends[0], middle, ends[1])).alias("p")).select("edge_id", "p.lat", "p.lon")
+    spots = points.select(*[F.col(c).alias(f"{c}{i}") for i in (1, 2) for c in ("lat", "lon")])
+    return near_edges(tried, spots, most).select("edge_id").distinct()
+
+
 def inside(points: DataFrame, id: str, rings: DataFrame) -> DataFrame:
     """(id, poly_id) for points in polygons; `rings(poly_id, ring, hole, lat1,
     lon1, lat2, lon2)` holds one row per side.  A point on an outer side is in, in

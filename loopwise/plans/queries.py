@@ -213,6 +213,51 @@ def elevation_samples(spark, d):
     return _rounded(elevation.smoothed(_samples(spark, d), "route_id"))
 
 
+_INTERVALS = _SAMPLES + """, iv as (select *, rise * 100 / (end_m - start_m) grade from (select route_id, i, "at" start_m, lead("at") over w end_m, lead(elevation) over w - elevation rise from sa window w as (partition by route_id order by i)) where end_m > start_m)"""
+
+
+@query(_INTERVALS + """ select route_id, round(known / total, 6) coverage, round(case when known > 0 then coalesce(gentle_m, 0) / known end, 6) gentle_ratio, round(max_grade, 6) max_grade
+from (select route_id, sum(end_m - start_m) total, coalesce(sum(end_m - start_m) filter (grade is not null), 0) known, sum(end_m - start_m) filter (abs(grade) <= 4) gentle_m, max(abs(grade)) max_grade from iv group by 1)""")
+def elevation_grades(spark, d):
+    return _rounded(elevation.grades(_samples(spark, d), "route_id"))
+
+
+@query(_INTERVALS + """, hl as (select route_id, run, min(start_m) start_m, max(end_m) end_m, sum(rise) rise from (
+    select *, sum((up and not before)::int) over (partition by route_id order by i) run from (select *, coalesce(lag(up) over (partition by route_id order by i), false) before from (select *, coalesce(grade >= 3, false) up from iv))) where up group by 1, 2)
+select route_id, start_m, end_m, rise, place from (select *, row_number() over (partition by route_id order by rise desc, start_m) place from hl where end_m - start_m >= 100) where place <= 3""")
+def hills(spark, d):
+    return _rounded(elevation.hills(_samples(spark, d), "route_id"))
+
+
+@query(_SAMPLES + """ select route_id, low, greatest(high, low + 10) high from (select route_id, coalesce(floor(min(elevation) / 10) * 10, 0)::bigint low, coalesce(ceil(max(elevation) / 10) * 10, 10)::bigint high from sa group by 1)""")
+def height_range(spark, d):
+    return elevation.height_range(_samples(spark, d), "route_id")
+
+
+@query(" select route_id, count(*) n_edges, sum(total) length, sum(total - longest) repeated_m from (select route_id, physical_id, sum(length) total, max(length) longest from segments group by 1, 2) group by 1")
+def edge_usage(spark, d):
+    return sequence.edge_usage(R.segments(spark, d))
+
+
+@query(" select route_id, sum(case when crossing then length else 0 end) crossing_m, sum(case when steps then length else 0 end) steps_m, sum(case when surface = 'gravel' then length else 0 end) unpaved_m, sum(case when lit = 'no' then length else 0 end) unlit_m from segments group by 1")
+def recorded_burden(spark, d):
+    return sequence.recorded_burden(R.segments(spark, d))
+
+
+@query(_SWEEP + """ select a, b, case when shared_m >= 0.999::double * total_a and shared_m >= 0.999::double * total_b then 'direction'
+  when (shared_m >= 0.999::double * total_b and total_a > total_b + 0.5) or (shared_m >= 0.999::double * total_a and total_b > total_a + 0.5) then 'distance' else 'path' end variation from sim""")
+def route_variation(spark, d):
+    return sequence.variation(sequence.similar_pairs(sequence.coverage_sweep(R.segments(spark, d)))).select("a", "b", "variation")
+
+
+_TRIED = "select edge_id, unnest([lat1, (lat1 + lat2) / 2, lat2]) la, unnest([lon1, (lon1 + lon2) / 2, lon2]) lo from edges"
+
+
+@query(f" select distinct edge_id from ({_TRIED}), pois where {_HAVERSINE.format('la', 'lat', 'lo', 'lon')} <= 30")
+def signal_edges(spark, d):
+    return spatial.edges_near_points(R.edges(spark, d), R.pois(spark, d), 30.0)
+
+
 @query()
 def ascent(spark, d):
     return elevation.climbs(elevation.smoothed(_samples(spark, d), "route_id"), "route_id")
