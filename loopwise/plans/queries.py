@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loopwise.functions import evidence, geo
 from loopwise.operators import elevation, paths, ranking, sequence, spatial
+from loopwise.sources import elements
 from loopwise.sources import routes as R
 
 #: Metres that the requests ask for.
@@ -250,6 +251,26 @@ def route_variation(spark, d):
     return sequence.variation(sequence.similar_pairs(sequence.coverage_sweep(R.segments(spark, d)))).select("a", "b", "variation")
 
 
+@query(_EVIDENCE + " select request_id, route_id, length from sc where error <= 0.2 + 1e-8")
+def valid_candidates(spark, d):
+    return ranking.within_bounds(_scored(spark, d)).select("request_id", "route_id", "length")
+
+
+@query(_EVIDENCE + " select request_id, route_id, 2000 - length missing_m from sc where 2000 - length between 9.99 and 100.01")
+def small_deficits(spark, d):
+    return ranking.small_deficit(_scored(spark, d), TARGET).select("request_id", "route_id", "missing_m")
+
+
+@query(" select c_custkey id, case when c_custkey % 2 = 0 then 'crossing,name' else 'crossing' end keys, c_mktsegment crossing, case when c_custkey % 3 = 0 then 1 else 0 end::bigint was_unclean from customer")
+def sanitized_elements(spark, d):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    tags = F.create_map(F.lit("crossing"), F.col("c_mktsegment"), F.lit("name"), F.when(k % 2 == 0, name), F.lit("phone"), F.when(k % 3 == 0, name), F.lit("contact:email"), F.when(k % 6 == 0, name))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(k.alias("id"), F.when(k % 9 == 0, name).alias("user"), F.map_filter(tags, lambda _, v: v.isNotNull()).alias("tags"))
+    was = elements.unclean(rows).select("id", F.lit(1).cast("long").alias("was_unclean"))
+    clean = elements.sanitized(rows).join(was, "id", "left").fillna(0, ["was_unclean"])
+    return clean.select("id", F.array_join(F.array_sort(F.map_keys("tags")), ",").alias("keys"), F.col("tags")["crossing"].alias("crossing"), "was_unclean")
+
+
 _TRIED = "select edge_id, unnest([lat1, (lat1 + lat2) / 2, lat2]) la, unnest([lon1, (lon1 + lon2) / 2, lon2]) lo from edges"
 
 

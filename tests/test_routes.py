@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loopwise.functions import evidence, geo
 from loopwise.operators import elevation, ranking, sequence, spatial
 from loopwise.registry import ORACLES, QUERIES
-from loopwise.sources import routes
+from loopwise.sources import elements, routes
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -116,3 +116,12 @@ def test_empty_tables(spark):
     none = routes.segments(spark, SF).limit(0)
     assert sequence.crossing_groups(none).count() == sequence.longest_walk(none).count() == sequence.similar_pairs(sequence.coverage_sweep(none)).count() == 0
     assert geo.half_up(F.lit(-2.5)) is not None
+
+
+def test_sanitising_twice_changes_nothing(spark):
+    rows = spark.createDataFrame([(1, "u", {"phone": "1", "crossing": "yes"}), (2, None, None), (3, None, {"email": "e"}), (4, None, {})], "id long, user string, tags map<string,string>")
+    assert sorted(r.id for r in elements.unclean(rows).collect()) == [1, 3]
+    once = elements.sanitized(rows)
+    assert once.columns == ["id", "tags"] and elements.unclean(once).isEmpty()
+    assert sorted((r.id, r.tags) for r in once.collect()) == sorted((r.id, r.tags) for r in elements.sanitized(once).collect())
+    assert {r.id: r.tags for r in once.collect()} == {1: {"crossing": "yes"}, 2: None, 3: {}, 4: {}}
