@@ -1,13 +1,16 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
 Features are hashed words, present or not; one weight vector is shared by all
-ordered thresholds: P(grade >= j) = sigmoid(w . x - t_j).  Weights are sparse
-(L1, accelerated proximal gradient).  A document's severity is its expected
-grade, the sum of those probabilities.
+ordered thresholds: P(grade >= j) = sigmoid(w . x - t_j).  Words enter by the
+evidence of each (an exact test, with a bound on the share of false ones);
+weights are sparse (L1, accelerated proximal gradient).  The bound and the
+weights of L1 and L2 are chosen by cross-validation within the labels.  A
+document's severity is its expected grade, the sum of those probabilities.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,14 +24,13 @@ from loopwise.llm import _learn, _text
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 12_000
 BUCKETS = 1 << 18
-#: A feature must be in this many documents of the sample, or in its 800th part.
-LEAST_DOCS = 4
-#: L1 weight times the root of the sample's size: above the noise of a rare
-#: feature's gradient.
-L1 = 0.2
+#: Choices for cross-validation: expected share of false words among those that
+#: enter; L1 weight in standard errors of each word's own gradient, so that a rare
+#: word is held to the same evidence as a frequent one; L2 weight times the
+#: sample's size.
+FALSE_WORDS, L1S, L2S = (0.05, 0.2, 0.5), (0.0, 0.5, 1.0), (0.03, 0.1, 0.3, 1.0)
+FOLDS = 5
 STEPS = 200
-#: Features below this share of the largest weight are noise of the sample.
-WEAK = 0.25
 
 
 def _features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -62,6 +64,87 @@ class Model:
         return sum((1 / (1 + np.exp(np.clip(t - x, -500, 500))) for t in self.thresholds), np.zeros(len(x)))
 
 
+def _false_shares(doc: np.ndarray, at: np.ndarray, n: int, above: np.ndarray) -> np.ndarray:
+    """For each of n words the share of false ones to expect among all words of
+    as much evidence or more.
+
+    Evidence is the exact two-sided hypergeometric chance that so many of a
+    word's documents reach a grade; what is expected by accident is summed over
+    the chances each word can have at all (Heyse), so rare words cost nothing."""
+    rows, m = len(above), np.bincount(at, minlength=n)
+    sizes, group, words = np.unique(m, return_inverse=True, return_counts=True)
+    log = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, rows + 1)))))
+    found, tables = np.ones((above.shape[1], n)), []
+    order = np.argsort(group, kind="stable")
+    of_size = np.split(order, np.cumsum(words)[:-1])
+    for c, y in enumerate(above.T):
+        hits, k = int(y.sum()), np.bincount(at, weights=y[doc], minlength=n).astype(np.int64)
+        for size, number, of in zip(sizes, words, of_size):
+            j = np.arange(max(0, size + hits - rows), min(size, hits) + 1)
+            p = np.exp(log[hits] - log[j] - log[hits - j] + log[rows - hits] - log[size - j] - log[rows - hits - size + j] - log[rows] + log[size] + log[rows - size])
+            chance = np.minimum(1.0, 2 * np.minimum(np.cumsum(p), np.cumsum(p[::-1])[::-1]))
+            found[c, of] = chance[k[of] - j[0]]
+            tables.append((chance, p * number))
+    steps, place = np.unique(found, return_inverse=True)
+    chance, weight = (np.concatenate(x) for x in zip(*tables))
+    # A step counts what lies at it, up to rounding.
+    false = np.bincount(np.searchsorted(steps * (1 + 1e-9), chance), weights=weight, minlength=len(steps) + 1)[: len(steps)].cumsum()
+    share = np.minimum.accumulate((false / np.bincount(place.ravel()).cumsum())[::-1])[::-1]
+    return share[place.reshape(found.shape)].min(axis=0)
+
+
+def _fitted(doc: np.ndarray, at: np.ndarray, false: np.ndarray, above: np.ndarray, most: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words used, their weights and the thresholds."""
+    rows, rate, n = len(above), above.mean(axis=0), len(false)
+    keep = np.flatnonzero(false <= most)
+    if l1:
+        kd, ka = _among(doc, at, n, keep)
+        share = np.bincount(ka, minlength=len(keep)) / rows
+        error = np.sqrt(share * (1 - share) * (rate * (1 - rate)).sum() / rows)
+        keep = keep[_descend(kd, ka, len(keep), above, l1 * error, 0.0)[0] != 0]
+    # The L1 weight chose the features; without it their weights aren't shrunk.
+    return keep, *_descend(*_among(doc, at, n, keep), len(keep), above, 0.0, l2 / rows)
+
+
+def _among(doc: np.ndarray, at: np.ndarray, n: int, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of the kept words, by their places among these."""
+    place = np.full(n, -1)
+    place[keep] = np.arange(len(keep))
+    used = place[at] >= 0
+    return doc[used], place[at[used]]
+
+
+def _chosen(doc: np.ndarray, at: np.ndarray, n: int, above: np.ndarray, fold: np.ndarray) -> tuple[float, float, float]:
+    """The choice with the least log loss on held-out documents, with words and
+    weights from the others only: one strength after another, from the middle."""
+    parts = []
+    for f in range(FOLDS):
+        seen = fold != f
+        used, row = seen[doc], np.cumsum(seen) - 1
+        false = _false_shares(row[doc[used]], at[used], n, above[seen])
+        some = false[at] <= max(FALSE_WORDS)
+        parts.append((seen, row, false, doc[some], at[some]))
+
+    def loss(choice: list[float]) -> float:
+        total = 0.0
+        for seen, row, false, d, a in parts:
+            used = seen[d]
+            keep, w, t = _fitted(row[d[used]], a[used], false, above[seen], *choice)
+            kd, ka = _among(d, a, n, keep)
+            x = np.bincount(kd, weights=w[ka], minlength=len(above))[~seen]
+            total += np.logaddexp(0, np.where(above[~seen] > 0, -1, 1) * (x[:, None] - t[None, :])).sum()
+        return total
+
+    best = [0.2, 0.0, 0.1]
+    least = loss(best)
+    for i, values in enumerate((FALSE_WORDS, L1S, L2S)):
+        for v in values:
+            tried = [*best[:i], v, *best[i + 1 :]]
+            if v != best[i] and (got := loss(tried)) < least:
+                best, least = tried, got
+    return tuple(best)
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     """rows: distinct buckets of each document; y: its grade.  With fewer than
     two grades severity is 0 throughout."""
@@ -69,24 +152,16 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     if len(grades) < 2:
         return Model(grades, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    kinds, counts = np.unique(flat, return_counts=True)
-    kinds = kinds[counts >= max(LEAST_DOCS, len(y) // 800)]
+    kinds, at = np.unique(flat, return_inverse=True)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.searchsorted(kinds, flat)
-    known = (at < len(kinds)) & (kinds[np.minimum(at, len(kinds) - 1)] == flat) if len(kinds) else np.zeros(len(flat), bool)
-    doc, at = doc[known], at[known]
     above = np.array([[v >= g for g in grades[1:]] for v in y], dtype=float)
-    w, t = _descend(doc, at, len(kinds), above, L1 / np.sqrt(len(y)), 0.0)
-    # The L1 weight chose the features; without it their weights aren't shrunk.
-    keep = np.flatnonzero(np.abs(w) >= WEAK * np.abs(w).max()) if w.any() else np.zeros(0, np.int64)
-    place = np.full(len(kinds), -1)
-    place[keep] = np.arange(len(keep))
-    used = place[at] >= 0
-    w, t = _descend(doc[used], place[at[used]], len(keep), above, 0.0, 1.0 / len(y))
+    # Folds by what a document holds: copies of one text never face each other.
+    fold = np.array([zlib.crc32(np.ascontiguousarray(r, np.int64).tobytes()) % FOLDS for r in rows])
+    keep, w, t = _fitted(doc, at, _false_shares(doc, at, len(kinds), above), above, *_chosen(doc, at, len(kinds), above, fold))
     return Model(grades, kinds[keep], w, t)
 
 
-def _descend(doc: np.ndarray, at: np.ndarray, n: int, above: np.ndarray, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+def _descend(doc: np.ndarray, at: np.ndarray, n: int, above: np.ndarray, l1: np.ndarray | float, l2: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by accelerated proximal gradient steps; features
     that many documents hold have more curvature and take smaller steps."""
     rows, rate = len(above), above.mean(axis=0)

@@ -193,6 +193,20 @@ def test_toxicity_grades(spark, docs, empty):
     assert toxicity.graded(docs, model).count() == len(odd_rows()) and toxicity.graded(empty, model).count() == 0
 
 
+def test_rare_toxic_words_count():
+    """Words of six toxic documents each, beside one of a hundred and fifty."""
+    rng = np.random.default_rng(11)
+    plain = lambda: " ".join("w" + "abcdefghij"[a] + "abcdefghij"[b] for a, b in rng.integers(0, 10, (20, 2)))
+    rare = ["rara", "mala", "fea", "sucia"]
+    rows = [(plain(), 0) for _ in range(1842)] + [(plain() + " scum", 1) for _ in range(150)]
+    rows += [(" ".join([plain(), *(w for j, w in enumerate(rare) if j != i % 4)]), 1) for i in range(8)]
+    texts = __import__("pyarrow").array([t for t, _ in rows])
+    lists = [np.unique(words[first[i] : first[i + 1]]) for words, first, n in toxicity._features(texts) for i in range(n)]
+    model = toxicity.fit(lists, np.array([y for _, y in rows]))
+    unseen = __import__("pyarrow").array([plain() + " rara sucia", plain() + " scum", plain(), plain()])
+    assert (model.severity(unseen) >= 0.5).tolist() == [True, True, False, False]
+
+
 def test_prints_align_shifted_recordings(spark):
     rng = np.random.default_rng(3)
     tune = rng.normal(size=64)
