@@ -12,6 +12,7 @@ import datetime
 import hashlib
 import math
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,6 +34,7 @@ _FOUND = re.compile(
     |(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))""",
     re.VERBOSE,
 )
+_GROUP = re.compile(r"[0-9]+")
 _LIKELY = re.compile(r"[0-9@]")
 
 
@@ -125,6 +127,28 @@ def pseudonym(kind: str, text: str, key: bytes, backwards: bool = False) -> str
     return _letters(text, key, kind, "0123456789abcdef", backwards) if kind == "secret" else None
 
 
+def found(text: str, known: Callable[[str, str], str | None]) -> Iterator[tuple[str, int, int, str]]:
+    """Kind, start, end and pseudonym of each valid value, in order.  Of a run of
+    digit groups the longest part that is a card counts, from the first group that
+    begins one; the search goes on right behind what was used, or at the next
+    group if nothing was."""
+    at = 0
+    while m := _FOUND.search(text, at):
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        new = known(kind, m[0])
+        if new is None and kind == "card":
+            for g in reversed(list(_GROUP.finditer(text, start, end))[:-1]):
+                part = text[start : g.end()]
+                if 13 <= sum(c.isdigit() for c in part) and (new := known(kind, part)) is not None:
+                    end = g.end()
+                    break
+        if new is not None:
+            yield kind, start, end, new
+            at = end
+        else:
+            at = _GROUP.match(text, start).end() if kind == "card" else end
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", SPANS)])
 
@@ -144,20 +168,17 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
                 out.append({"text": t, "spans": []})
                 continue
             parts, spans, at, size = [], [], 0, 0
-            for m in _FOUND.finditer(t):
-                new = known(m.lastgroup, m[0])
-                if new is None:
-                    continue
-                parts += [t[at : m.start()], new]
-                size += m.start() - at
-                spans.append({"kind": m.lastgroup, "start": size, "end": size + len(new)})
+            for kind, start, end, new in found(t, known):
+                parts += [t[at:start], new]
+                size += start - at
+                spans.append({"kind": kind, "start": size, "end": size + len(new)})
                 size += len(new)
-                at = m.end()
+                at = end
             out.append({"text": "".join([*parts, t[at:]]), "spans": spans})
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]))
 
-    found = docs.withColumn("__found", rewrite("text"))
-    return found.select(*[F.col("__found.text").alias("text") if c == "text" else docs[c] for c in docs.columns], F.col("__found.spans").alias("__spans"))
+    rows = docs.withColumn("__found", rewrite("text"))
+    return rows.select(*[F.col("__found.text").alias("text") if c == "text" else docs[c] for c in docs.columns], F.col("__found.spans").alias("__spans"))
 
 
 #: The key of the registered query; a user gives their own.

@@ -184,6 +184,15 @@ def test_pseudonymised_rows(docs, empty, spark):
     assert pii.pseudonymised(docs, "k").columns == [*docs.columns, "__spans"] and pii.pseudonymised(empty, "k").count() == 0
 
 
+@pytest.mark.parametrize("text", ["4111 1111 1111 1111 123", "4111111111111111 12/27", "no 7 4111 1111 1111 1111", "no 12-7 4111-1111-1111-1111 99", "4111 1111 1111 1111 5500 0000 0000 0004", "4111111111111111 123-45-6789"])
+def test_cards_beside_other_numbers(text):
+    """The same digits with the card's pseudonym, the other numbers as they are."""
+    got = list(pii.found(text, lambda kind, value: pii.pseudonym(kind, value, b"k" * 32)))
+    values = [text[a:b] for _, a, b, _ in got]
+    assert values[0].replace(" ", "").replace("-", "") == "4111111111111111"
+    assert values[1:] == (["5500 0000 0000 0004"] if "5500" in text else ["123-45-6789"] if "6789" in text else [])
+
+
 def test_toxicity_grades(spark, docs, empty):
     rows = [(i, f"hello friend number {i} nice day", 0) for i in range(80)] + [(80 + i, f"hello vile scum number {i}", 1) for i in range(40)] + [(120 + i, f"vile scum awful murder {i}", 2) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
