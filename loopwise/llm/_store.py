@@ -1,50 +1,5 @@
 """Intermediate tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from loopwise.store import drop, new_path, shared_dir, small, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows of two id columns that a broadcast may hold (about 32 MB).
-BROADCAST_ROWS = 2_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where it
-    is unset, as on one machine in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        base = context.getCheckpointDir()
-        if not base:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-            base = context.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows of `df`, written once as Parquet and read back: lineage ends
-    here, and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Removes written tables that no later step reads."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if a count shows at most `rows` rows; else as
-    it is, for a shuffled join.  For narrow tables only."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["drop", "new_path", "shared_dir", "small", "written"]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer single document is its own slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -31,11 +31,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers; those of a slice are kept, longer runs are not."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         grown = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
         grown[0] = 1
-        have = _powers[base] = np.cumprod(grown, dtype=np.uint64)
+        have = np.cumprod(grown, dtype=np.uint64)
+        if n <= SLICE_BYTES + 1:
+            _powers[base] = have
     return have[:n]
 
 
@@ -55,10 +58,6 @@ class Slice:
         self.first, self.raw, self.offsets = first, raw, offsets
         self.n = len(offsets) - 1
 
-    @property
-    def data(self) -> np.ndarray:
-        return _LOWER[self.raw]
-
     def words(self, member: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end bytes of maximal runs of member bytes within one
         document, and per document the index of its first word (n + 1 long)."""
@@ -78,12 +77,19 @@ class Slice:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of each lower-cased word, alike at any position."""
-        data = self.data
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
-        spans = (sums[ends] - sums[starts]) * _power(_BASE_INVERSE, len(data) + 1)[starts]
-        return mix(spans)
+        """64-bit hash of each lower-cased word, alike at any position.  A long
+        document goes through in stretches of whole words."""
+        out, i = np.empty(len(starts), dtype=np.uint64), 0
+        while i < len(starts):
+            first = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(ends, first + SLICE_BYTES, side="right")))
+            data = _LOWER[self.raw[first : ends[j - 1]]]
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
+            a, b = starts[i:j] - first, ends[i:j] - first
+            out[i:j] = mix((sums[b] - sums[a]) * _power(_BASE_INVERSE, len(data) + 1)[a])
+            i = j
+        return out
 
 
 def slices(texts: pa.Array) -> Iterator[Slice]:
@@ -92,9 +98,8 @@ def slices(texts: pa.Array) -> Iterator[Slice]:
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    n, wide = len(texts), pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
     body = texts.buffers()[2]
     body = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
     at = 0

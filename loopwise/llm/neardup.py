@@ -7,23 +7,21 @@ the k smallest distinct values.  Steps, all on Spark:
    of the whole set and the sketch.
 2. Equal sets form a class; only class representatives go on.
 3. Inverted lists of retained values.  A value that one class holds is in no
-   pair.  Each class indexes its rarest values only: sketches of two sets with
-   Jaccard 0.8 share at least half of their values (six standard deviations
-   below the expected 0.8 k), so the two share one of the rarest k/2 + 1.
-   Values of passages that many documents quote sort last and index nothing
-   unless they make up half of a sketch.
-4. Each list links its members to a leader; links whose union sketch estimates
+   pair.  Each class indexes its rarest values only: sketches of two sets at the
+   threshold share at least half of 64 values (six standard deviations below
+   what is expected; sets that fit into a sketch: exactly their share), so the
+   two share one of the rarest 33.  Values of passages that many documents quote
+   sort last and index nothing unless they make up half of a sketch.
+4. Each list links its members to a leader; pairs whose union sketch estimates
    enough similarity are verified on the full sets, components are formed, and
    the lists are read again: pairs whose ends lie in one component already are
    done.  A first leader is the member with the fewest values of its own: the
    original of its near copies.  A group of n copies so costs n pairs, not n
-   squared.
-5. Classes of lists that still span components get sketches of `FINE` values.
-   A set that fits into one shares at least `percent` of it with any partner
-   (larger sets: five standard deviations less), so only the rarest fifth
-   indexes: pairs of those lists across components are all verified and no link
-   between components is lost, yet texts that share a passage of less than
-   four fifths of their length meet in no list.
+   squared.  Rounds end when leaders link few of those they meet.
+5. Classes of lists that still span components are compared by their whole
+   sets: under their rarest fifth, with the overlaps of each pair counted and
+   bounded and parity bits that bound the difference, none of which loses a
+   link; what remains is verified on the full sets.
 6. Components by alternating large-star and small-star steps.
 """
 
@@ -39,8 +37,10 @@ from pyspark.sql import functions as F
 
 from loopwise.llm import _store, _text
 
-#: Values of the sketches that decide what the leaders left open.
-FINE = 256
+#: Parity bits that whole sets carry into the last comparison.
+BITS = 512
+#: Another round of leaders follows if one of so many pairs was a link.
+PAY = 8
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, sketch array<long>"
 
@@ -94,23 +94,43 @@ def sketches(docs: DataFrame, size: int = 5, k: int = 64) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """The whole shingle sets of the classes `ids(node, doc_id, set_hi)`, each
-    taken from its document; another text under the same doc_id is passed by."""
+    """Per class of the written `ids(node, doc_id, set_hi)`: its whole set, taken
+    from its document (another text under the same doc_id is passed by), and
+    bits: BITS parities, one for each part of the hash space, of how many of its
+    values lie there.  Two sets differ in at least as many values as their
+    parities do in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(nodes: list, found: list, bits: list) -> pa.RecordBatch:
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+            fixed = np.arange(len(nodes) + 1) * (BITS // 64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found))), pa.ListArray.from_arrays(pa.array(fixed, pa.int32()), pa.array(np.concatenate(bits)))],
+                names=["node", "shingles", "bits"],
+            )
+
         for batch in batches:
             node, hi = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            nodes, flat, ends = [], [], [0]
+            nodes, sets, bits, held = [], [], [], 0
             for i, found in _sets(batch.column(0), size):
-                if _fingerprint(found)[0] == hi[i]:
-                    nodes.append(node[i])
-                    flat.append(found)
-                    ends.append(ends[-1] + len(found))
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["node", "shingles"])
+                if _fingerprint(found)[0] != hi[i]:
+                    continue
+                part = (found.view(np.uint64) >> np.uint64(20)) % np.uint64(BITS)
+                odd = np.bincount(part.astype(np.int64), minlength=BITS) & 1
+                nodes.append(node[i])
+                sets.append(found)
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                held += len(found)
+                if held > 1 << 19:
+                    yield out(nodes, sets, bits)
+                    nodes, sets, bits, held = [], [], [], 0
+            if nodes:
+                yield out(nodes, sets, bits)
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_store.small(ids), "doc_id")
-    return wanted.select("text", "node", "set_hi").mapInArrow(run, "node long, shingles array<long>")
+    rows = wanted.select("text", "node", "set_hi").mapInArrow(run, "node long, shingles array<long>, bits array<long>")
+    # Rows that repeat a document give its set as often.
+    return rows.dropDuplicates(["node"])
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -148,80 +168,99 @@ def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs whose union sketch (the k smallest values of both) holds at least
-    the share `least` of values that are in both; sizes filter first."""
+def _slack(percent: int, k: int) -> float:
+    """Six standard deviations of the share of k sketch values that two sets at
+    the threshold have in common."""
+    return 6 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose union sketch (the k smallest values of both) holds enough
+    values that are in both; sizes filter first."""
     sized = _with(pairs, classes.select("node", F.struct("n_shingles", "sketch").alias("s")), "s")
-    sized = sized.where(F.least("va.n_shingles", "vb.n_shingles") * 100 >= F.greatest("va.n_shingles", "vb.n_shingles") * 80)
+    sized = sized.where(F.least("va.n_shingles", "vb.n_shingles") * 100 >= F.greatest("va.n_shingles", "vb.n_shingles") * percent)
     # Signed order serves as well as unsigned for a set of hash values, as long
     # as the sketch was cut in the order used here: flip the sign bit.
     flip = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
     union = F.slice(F.array_sort(F.array_union(flip(F.col("va.sketch")), flip(F.col("vb.sketch")))), 1, k)
     both = F.array_intersect(flip(F.col("va.sketch")), flip(F.col("vb.sketch")))
     sized = sized.withColumn("u", union)
-    return sized.where(F.size(F.array_intersect("u", both)) >= F.size("u") * least).select("a", "b")
-
-
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, k: int, percent: int) -> DataFrame:
-    """Pairs of classes with 100 * intersection >= percent * union, verified on
-    full sets after the sketches' estimate."""
-    likely, path = _store.written(_estimated(pairs, classes, k, percent / 100 - 0.3), "likely")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # A class's own row: the sets of one of its documents.
-    ids = classes.join(ends, "node").select("doc_id", "node", "set_hi")
-    sets = full_sets(docs, ids, size).dropDuplicates(["node"])
-    verified = _with(likely, sets, "shingles").withColumn("both", F.size(F.array_intersect("va", "vb")))
-    return verified.where(F.col("both") * 100 >= (F.size("va") + F.size("vb") - F.col("both")) * percent).select("a", "b")
-
-
-def _rare_lists(sets: DataFrame, spare) -> DataFrame:
-    """Inverted lists (node, n_shingles, alone, v, before) of `sets(node,
-    n_shingles, sketch)`: a set is under its rarest size - spared + 1 values,
-    where `spare` is a column, the values that it shares with any partner at
-    least.  alone counts its values that no other set holds, which fill places
-    but no list, and before its values rarer than v, alone ones included."""
+    return sized.where(F.size(F.array_intersect("u", both)) >= F.size("u") * (percent / 100 - _slack(percent, k))).select("a", "b")
+
+
+def _verified(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union of `sets(node, shingles)`."""
+    both = _with(likely, sets, "shingles").withColumn("both", F.size(F.array_intersect("va", "vb")))
+    return both.where(F.col("both") * 100 >= (F.size("va") + F.size("vb") - F.col("both")) * percent).select("a", "b")
+
+
+def _rare_lists(sets: DataFrame, spare, *more: str) -> tuple[DataFrame, str]:
+    """Inverted lists (node, n_shingles, *more, alone, v, before) of `sets(node,
+    n_shingles, sketch, *more)` as a written table, and its path: a set is under
+    its rarest size - spare + 1 values, where the column `spare` says how many it
+    shares with any partner at least.  alone counts its values that no other set
+    holds, which fill places but no list, and before its values rarer than v,
+    alone ones included."""
+    spark = sets.sparkSession
     entries = sets.select("node", F.explode("sketch").alias("v"))
-    shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # Written, so that both sides of the join are plain exchanges, of which AQE
+    # splits the partition of a value that many sets hold.
+    shared, shared_at = _store.written(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     held = entries.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
-    rows = sets.withColumn("need", F.size("sketch") - spare + 1).withColumn("m", F.size("sketch")).drop("sketch").join(held, "node")
+    rows = sets.withColumn("m", F.size("sketch")).withColumn("need", F.col("m") - spare + 1).drop("sketch").join(held, "node")
     rows = rows.withColumn("alone", F.col("m") - F.size("held")).withColumn("room", F.col("need") - F.col("alone")).where("room > 0")
-    rows = rows.select("node", "n_shingles", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("room").cast("int"))["v"]).alias("at", "v"))
-    return rows.select("node", "n_shingles", "alone", "v", (F.col("alone") + F.col("at")).alias("before"))
-
-
-def _open_pairs(docs: DataFrame, classes: DataFrame, left: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[str]]:
-    """Pairs across components among `left(node, component)` by fine sketches."""
-    ids = classes.select("doc_id", "node", "set_hi").join(left.select("node"), "node")
-    sets = full_sets(docs, ids, size).dropDuplicates(["node"]).select("node", F.size("shingles").alias("n_shingles"), F.slice("shingles", 1, FINE).alias("sketch"))
-    sets, path = _store.written(sets, "fine")
-    n, m = F.col("n_shingles"), F.size("sketch")
-    slack = 5 * (percent * (100 - percent) / FINE) ** 0.5
-    spare = F.when(n * 100 <= FINE * percent, F.ceil(n * percent / 100)).otherwise(F.floor(m * (percent - slack) / 100)).cast("int")
-    # Two sets meet under the rarest value that both hold, and there they share
-    # nothing of what stands before it in either.
-    lists = _rare_lists(sets, spare).join(left, "node")
-    most = F.when(n <= FINE, n - F.col("before")).otherwise(n)
-    lists, lists_at = _store.written(lists.select("v", "node", "component", "n_shingles", most.alias("most")), "fine-lists")
+    rows = rows.select("node", "n_shingles", *more, "alone", F.posexplode(F.slice("held", F.lit(1), F.col("room").cast("int"))["v"]).alias("at", "v"))
+    lists, path = _store.written(rows.select("node", "n_shingles", *more, "alone", "v", (F.col("alone") + F.col("at")).alias("before")), "lists")
+    _store.drop(spark, shared_at)
+    return lists, path
+
+
+def _spanning(lists: DataFrame, *keys) -> tuple[DataFrame, str]:
+    """The values of `lists(v, component, ...)` whose members lie in several
+    components, with the aggregates `keys`, as a written table."""
+    spans = lists.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *keys).where("c0 <> c1")
+    return _store.written(spans.drop("c0", "c1"), "open")
+
+
+def _open_pairs(sets: DataFrame, left: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """Pairs across components among `left(node, component)` that may link by
+    their whole `sets(node, shingles, bits)`.
+
+    Each set is under its rarest fifth.  Two sets meet under the rarest value
+    that both hold and share nothing of what stands before it in either; of each
+    pair the values that both are under are counted, and what stands after the
+    last of them bounds the rest of the overlap."""
+    spark = sets.sparkSession
+    n = F.size("shingles")
+    rows = sets.select("node", n.cast("long").alias("n_shingles"), F.col("shingles").alias("sketch"), "bits")
+    lists, lists_at = _rare_lists(rows, F.ceil(F.col("n_shingles") * percent / 100).cast("int"), "bits")
+    lists, placed_at = _store.written(lists.drop("alone").join(left, "node"), "placed")
+    spans, spans_at = _spanning(lists, F.min("n_shingles").alias("n_least"))
     # A set that is too poor for the smallest partner of a list leaves it.
-    least = lists.groupBy("v").agg(F.min("n_shingles").alias("n_least"))
-    able = lists.join(least, "v").where(F.col("most") * (100 + percent) - n * percent >= F.col("n_least") * percent).drop("n_least")
+    most = F.col("n_shingles") - F.col("before")
+    able = lists.join(spans, "v").where(most * (100 + percent) - F.col("n_shingles") * percent >= F.col("n_least") * percent).drop("n_least")
     able, able_at = _store.written(able, "able")
-    spans = able.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("v")
-    x = able.join(spans, "v")
-    y = able.select("v", F.col("node").alias("node2"), F.col("component").alias("component2"), F.col("n_shingles").alias("n2"), F.col("most").alias("most2"))
-    apart = F.expr("node < node2 and component <> component2") & (F.least("most", "most2", "n_shingles", "n2") * (100 + percent) >= (F.col("n_shingles") + F.col("n2")) * percent)
-    return x.join(y, "v").where(apart).select(F.col("node").alias("a"), F.col("node2").alias("b")), [path, lists_at, able_at]
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, rounds: int = 2) -> DataFrame:
+    x, y = able, able.select("v", *[F.col(c).alias(f"{c}2") for c in ("node", "component", "n_shingles", "before", "bits")])
+    # Overlap, and values in which two linked sets differ: at least, at most.
+    both, apart = (F.col("n_shingles") + F.col("n_shingles2")) * percent, (F.col("n_shingles") + F.col("n_shingles2")) * (100 - percent)
+    near = F.least(F.col("n_shingles") - F.col("before"), F.col("n_shingles2") - F.col("before2")) * (100 + percent) >= both
+    bits = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("bits2", i))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits", 0).bitwiseXOR(F.get("bits2", 0))))
+    met = x.join(y, "v").where(F.expr("node < node2 and component <> component2") & near & (bits * (100 + percent) <= apart))
+    counted = met.groupBy(F.col("node").alias("a"), F.col("node2").alias("b"), "n_shingles", "n_shingles2").agg(F.count("*").alias("shared"), F.max("before").alias("last"), F.max("before2").alias("last2"))
+    rest = F.least(F.col("n_shingles") - F.col("last"), F.col("n_shingles2") - F.col("last2")) - 1
+    return counted.where((F.col("shared") + rest) * (100 + percent) >= both).select("a", "b"), [lists_at, placed_at, spans_at, able_at]
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs(doc_id, text)`.
 
     component_id is the smallest doc_id reachable over pairs of documents whose
     shingle sets have 100 * intersection >= percent * union; kept marks the row
     whose doc_id that is.  Null or word-less texts have an empty set, link with
     nothing and are kept.  Rows that share a doc_id are one document.  A null
-    doc_id links with nothing: component_id null, kept true.  Extra columns are
-    ignored; an empty table gives an empty result."""
+    doc_id links with nothing: component_id null, kept true.  Ids are whole
+    numbers; a text id must hold one, or Spark's cast fails.  Extra columns,
+    whatever their names, are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
     marks, _ = _store.written(sketches(docs, size, k), "sketches")
     some = marks.where("n_shingles > 0 and doc_id is not null")
@@ -230,14 +269,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     # have the same sketch, so any of theirs serves.
     one = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes, classes_at = _store.written(one.select(key.alias("node"), "*"), "classes")
-    half = F.floor(F.size("sketch") / 2).cast("int")
-    lists, lists_at = _store.written(_rare_lists(classes.select("node", "n_shingles", "sketch"), half), "lists")
+    n = F.col("n_shingles")
+    share = F.floor(F.size("sketch") * (percent / 100 - _slack(percent, k)))
+    spare = F.when(n * 100 <= k * percent, F.ceil(n * percent / 100)).otherwise(share).cast("int")
+    lists, lists_at = _rare_lists(classes.select("node", "n_shingles", "sketch"), spare)
     # A doc_id of several rows is one document: its classes are linked.
     several = some.select("doc_id", key.alias("node"))
     firsts = several.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("c")).where("a <> c").select("doc_id", "a")
     found, found_at = _store.written(several.join(firsts, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"), "links")
-    paths, comp = [lists_at, found_at], None
-    for turn in range(rounds + 1):
+    paths, comp, turn, pay = [lists_at, found_at], None, 0, True
+    while True:
         # Values whose members lie in several components still have pairs to try.
         if comp is None:
             at = lists.withColumn("component", F.col("node"))
@@ -245,26 +286,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
             at = lists.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         at, at_path = _store.written(at, "at")
         order = F.struct((F.col("alone") if turn == 0 else F.lit(0)).alias("first"), F.xxhash64("node", F.lit(turn)).alias("order"), "node", "component")
-        open_lists, open_path = _store.written(at.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(order).alias("leader")).where("c0 <> c1").select("v", "leader"), "open")
+        open_lists, open_path = _spanning(at, F.min(order).alias("leader"))
         paths += [at_path, open_path]
         if open_lists.isEmpty():
             if comp is None:
                 comp, comp_at = components(found)
                 paths.append(comp_at)
             break
-        if turn < rounds:
+        if pay:
             pairs = at.join(open_lists, "v").where("component <> leader.component").select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+            pairs, pairs_at = _store.written(pairs.distinct(), "pairs")
+            likely, likely_at = _store.written(_estimated(pairs, classes, k, percent), "likely")
+            # A class's own row: the set of one of its documents.
+            ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+            ids, ids_at = _store.written(classes.select("doc_id", "node", "set_hi").join(ends, "node"), "ids")
+            sets = full_sets(docs, ids, size)
+            paths += [pairs_at, likely_at, ids_at]
         else:
             left = at.join(open_lists.select("v"), "v").select("node", "component").distinct()
-            pairs, fine_at = _open_pairs(docs, classes, left, size, percent)
-            paths += fine_at
-        fresh, path = _store.written(links(docs, classes, pairs.distinct(), size, k, percent), "links")
+            left, left_at = _store.written(classes.select("doc_id", "node", "set_hi").join(left, "node"), "left")
+            sets, sets_at = _store.written(full_sets(docs, left.drop("component"), size), "sets")
+            likely, fine_at = _open_pairs(sets, left.select("node", "component"), percent)
+            likely, likely_at = _store.written(likely, "likely")
+            paths += [left_at, sets_at, likely_at, *fine_at]
+        fresh, path = _store.written(_verified(likely, sets, percent), "links")
         paths.append(path)
         if comp is None or not fresh.isEmpty():
             # Stars found so far say all that the earlier links said.
             known = found if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
             comp, comp_at = components(known.union(fresh))
             paths.append(comp_at)
+        if not pay:
+            break
+        # Leaders go on as long as they link a good part of those they meet.
+        turn, pay = turn + 1, fresh.count() * PAY >= pairs.count()
     # From classes to documents: the smallest document of the component.
     reps = classes.select("node", "doc_id").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = reps.groupBy("component").agg(F.min("doc_id").alias("component_id"))
