@@ -92,8 +92,9 @@ class Slice:
         return out
 
 
-def slices(texts: pa.Array) -> Iterator[Slice]:
-    """The documents of an Arrow string column (null: empty) in bounded slices."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
+    """The documents of an Arrow string column (null: empty) in slices of at
+    most so many bytes, or of one document."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -104,7 +105,7 @@ def slices(texts: pa.Array) -> Iterator[Slice]:
     body = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
         end = min(n, max(end, at + 1))
         yield Slice(at, body[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         at = end

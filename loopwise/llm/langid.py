@@ -4,7 +4,8 @@ Each word gets a log likelihood per language from byte-trigram counts; the
 script of its first letter, known from the byte ranges of UTF-8 leads, narrows
 the languages that are tried.  A Viterbi pass over the words, with a penalty
 for each switch, labels spans; long texts are cut into blocks whose transfer
-matrices are chained, so that all blocks of a batch advance together.
+matrices are chained, so that many blocks advance together.  Any number of
+languages will do: what is worked on at once shrinks as they grow (`CELLS`).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,9 @@ SAMPLE = 20_000
 SWITCH = 12.0
 BLOCK = 128
 _GRAMS = 1 << 18
+#: Numbers that one step works on at once, whatever the languages; only a single
+#: long document may need more, 5 bytes for each of its words and languages.
+CELLS = 1 << 21
 
 # 6-bit byte classes: 0 for what is between words, letters, then other bytes.
 _CLASS = np.zeros(256, dtype=np.int32)
@@ -48,10 +52,10 @@ _SCRIPT[0xEE:] = 8
 SCRIPTS = 9
 
 
-def _trigrams(part: _text.Slice, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _trigrams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Trigram codes of the words, with a boundary on either side, and each
     word's first position among them: a word of n bytes has n of them."""
-    code = _CLASS[part.raw]
+    code = _CLASS[raw]
     n, lengths = len(code), ends - starts
     at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     inside = np.repeat(starts - at, lengths) + np.arange(int(lengths.sum()))
@@ -61,28 +65,36 @@ def _trigrams(part: _text.Slice, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return (before[inside] << 12) | (code[inside] << 6) | after[inside], at
 
 
-def _word_scores(part: _text.Slice, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """Words x languages: log likelihoods less the best one's."""
-    if not len(starts):
-        return np.zeros((0, table.shape[1]), np.float32)
-    grams, at = _trigrams(part, starts, ends)
-    scores = np.add.reduceat(table[grams], at, axis=0)
-    scores[~allowed[_SCRIPT[part.raw[starts]]]] -= 1000
-    return scores - scores.max(axis=1, keepdims=True)
-
-
 @dataclass
 class Model:
+    """Languages by name; `logs` has a row for each of the known trigram `codes`
+    and one for all others; `allowed` says which languages use a script."""
+
     langs: list[str]
     codes: np.ndarray
     logs: np.ndarray
     allowed: np.ndarray
 
-    def table(self) -> np.ndarray:
-        dense = np.empty((_GRAMS, len(self.langs)), dtype=np.float32)
-        dense[:] = self.logs[-1]
-        dense[self.codes] = self.logs[:-1]
-        return dense
+    def rows(self) -> np.ndarray:
+        """The row of `logs` of every trigram code."""
+        out = np.full(_GRAMS, len(self.codes), dtype=np.int32)
+        out[self.codes] = np.arange(len(self.codes))
+        return out
+
+
+def _word_scores(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: Model, rows: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Words x the languages `use`: log likelihoods less the best one's."""
+    out = np.empty((len(starts), len(use)), np.float32)
+    logs, allowed, i = model.logs[:, use], model.allowed[:, use], 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, first + CELLS // len(use), side="right")))
+        grams, at = _trigrams(raw[first : ends[j - 1]], starts[i:j] - first, ends[i:j] - first)
+        scores = np.add.reduceat(logs[rows[grams]], at, axis=0)
+        scores[~allowed[_SCRIPT[raw[starts[i:j]]]]] -= 1000
+        out[i:j] = scores - scores.max(axis=1, keepdims=True)
+        i = j
+    return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] | None = (4, 2)) -> Model:
@@ -102,7 +114,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, held_out: tuple[int, int] | Non
                 starts, ends, first = part.words(_text.LETTERS)
                 if not len(starts):
                     continue
-                grams, _ = _trigrams(part, starts, ends)
+                grams, _ = _trigrams(part.raw, starts, ends)
                 lang = np.repeat(at[part.first : part.first + part.n], np.diff(first))
                 key, n = np.unique(np.repeat(lang, ends - starts).astype(np.int64) * _GRAMS + grams, return_counts=True)
                 # Negative codes count words by script.
@@ -142,72 +154,89 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     rank = np.arange(len(owner)) - begin_of[owner]
     begin = first[:-1][owner] + rank * BLOCK
     length = np.minimum(counts[owner] - rank * BLOCK, BLOCK)
-    # best[b, s, t]: entering block b after label s and leaving it with t.
-    best = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(len(owner), axis=0)
-    for i in range(int(length.max())):
-        on = length > i
-        now = best[on]
-        best[on] = np.maximum(now, now.max(axis=2, keepdims=True) - switch) + scores[begin[on] + i][:, None, :]
-    # Chain the blocks of a text: the value of each label before every block.
+    follows = np.append(owner[1:] == owner[:-1], False)
+    # The value of each label before every block, from the block before it; all
+    # blocks but the last of a text are full.
     enter = np.zeros((len(owner), k))
-    for r in range(1, int(rank.max()) + 1):
-        at = np.flatnonzero(rank == r)
-        enter[at] = (enter[at - 1][:, :, None] + best[at - 1]).max(axis=1)
-    # All blocks forward again, from their true entry values.
-    value = enter.copy()
-    back = np.zeros((len(owner), BLOCK, k), dtype=np.int8)
-    own = np.arange(k, dtype=np.int8)
+    inner = np.flatnonzero(follows)
+    for part in (inner[g : g + max(1, CELLS // (k * k))] for g in range(0, len(inner), max(1, CELLS // (k * k)))):
+        # best[b, s, t]: entering block b after label s and leaving it with t.
+        best = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(len(part), axis=0)
+        for i in range(BLOCK):
+            best = np.maximum(best, best.max(axis=2, keepdims=True) - switch) + scores[begin[part] + i][:, None, :]
+        for r in np.unique(rank[part]):
+            at = np.flatnonzero(rank[part] == r)
+            enter[part[at] + 1] = (enter[part[at]][:, :, None] + best[at]).max(axis=1)
+    # All blocks forward, from their true entry values: which labels come from
+    # the best one before, and which that is.
+    value = enter
+    jumped = np.zeros((len(owner), BLOCK, k), dtype=bool)
+    top = np.zeros((len(owner), BLOCK), dtype=np.int32)
     for i in range(int(length.max())):
         on = np.flatnonzero(length > i)
         now = value[on]
-        top = now.argmax(axis=1)
         jump = now.max(axis=1, keepdims=True) - switch
-        back[on, i] = np.where(now >= jump, own, top[:, None])
+        top[on, i] = now.argmax(axis=1)
+        jumped[on, i] = now < jump
         value[on] = np.maximum(now, jump) + scores[begin[on] + i]
     # From the last block of each text to its first.
     labels = np.zeros(total, dtype=np.int64)
     state = value.argmax(axis=1)
     for r in range(int(rank.max()), -1, -1):
         at = np.flatnonzero(rank == r)
-        follows = (at + 1 < len(owner)) & (np.append(rank, 0)[at + 1] == r + 1)
-        state[at[follows]] = state[at[follows] + 1]
+        before = at[follows[at]]
+        state[before] = state[before + 1]
         for i in range(int(length[at].max()) - 1, -1, -1):
             on = at[length[at] > i]
             labels[begin[on] + i] = state[on]
-            state[on] = back[on, i, state[on]]
+            state[on] = np.where(jumped[on, i, state[on]], top[on, i], state[on])
     return labels
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("bytes", T.LongType())]))
-
-
-def label_spans(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with __spans: runs of words (maximal runs of letters, counted from
-    0, [start, end)) of one language and how many bytes they have.  Null texts
-    and texts without a letter have none."""
+FOUND = T.StructType([T.StructField("spans", SPANS), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+
+
+def _words(part: _text.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with a letter in them: runs of multi-byte signs alone are no words."""
+    starts, ends, first = part.words(_text.LETTERS)
+    ascii_letters = np.concatenate(([0], np.cumsum((part.raw < 128) & _text.LETTERS[part.raw], dtype=np.int32)))
+    odd = np.flatnonzero(ascii_letters[ends] == ascii_letters[starts])
+    drop = [i for i in odd if not any(c.isalpha() for c in part.raw[starts[i] : ends[i]].tobytes().decode("utf-8", "ignore"))]
+    if drop:
+        keep = np.ones(len(starts), bool)
+        keep[drop] = False
+        starts, ends = starts[keep], ends[keep]
+        first = np.searchsorted(starts, part.offsets)
+    return starts, ends, first
+
+
+def identified(docs: DataFrame, model: Model, into: str = "__found") -> DataFrame:
+    """`docs` with a struct `into` (a column of that name is replaced): spans,
+    runs of words (maximal runs of letters, counted from 0, [start, end)) of one
+    language and how many bytes they have; lang, the language with the most bytes
+    (ties: the last by name); score, its share of all of them.
+
+    Null and empty texts and those without a letter have no span, lang `und` and
+    score 0.  Each row is judged by its own text: repeated rows alike, other
+    columns stay as they are, an empty table gives an empty result.  Without a
+    learned language all is `und`."""
     held: dict[str, np.ndarray] = {}
+    k = len(model.langs)
 
-    @F.arrow_udf(SPANS)
-    def spans(text: pa.Array) -> pa.Array:
-        if "table" not in held:
-            held["table"] = model.table()
-        start_of, end_of, lang_of, bytes_of, ends_of = [], [], [], [], [np.zeros(1, np.int64)]
+    @F.arrow_udf(FOUND)
+    def find(text: pa.Array) -> pa.Array:
+        if "rows" not in held:
+            held["rows"] = model.rows()
+        start_of, end_of, lang_of, bytes_of, ends_of, best_of, share_of = [], [], [], [], [np.zeros(1, np.int64)], [], []
         done = 0
-        for part in _text.slices(text):
-            starts, ends, first = part.words(_text.LETTERS)
-            # Words of multi-byte signs alone are no words.
-            ascii_letters = np.concatenate(([0], np.cumsum((part.raw < 128) & _text.LETTERS[part.raw])))
-            odd = np.flatnonzero(ascii_letters[ends] == ascii_letters[starts])
-            drop = [i for i in odd if not any(c.isalpha() for c in part.raw[starts[i] : ends[i]].tobytes().decode("utf-8", "ignore"))]
-            if len(drop):
-                keep = np.ones(len(starts), bool)
-                keep[drop] = False
-                starts, ends = starts[keep], ends[keep]
-                first = np.searchsorted(starts, part.offsets)
-            if not len(model.langs):
-                first = first * 0
-                starts, ends = starts[:0], ends[:0]
-            labels = viterbi(_word_scores(part, starts, ends, held["table"], model.allowed), first)
+        for part in _text.slices(text, min(_text.SLICE_BYTES, 8 * CELLS // max(k, 1))):
+            starts, ends, first = _words(part)
+            if not k:
+                starts, ends, first = starts[:0], ends[:0], first * 0
+            # Scripts narrow the languages to those that any word may be in.
+            use = np.flatnonzero(model.allowed[np.unique(_SCRIPT[part.raw[starts]])].any(axis=0)) if len(starts) else np.zeros(1, np.int64)
+            labels = use[viterbi(_word_scores(part.raw, starts, ends, model, held["rows"], use), first)]
             new = np.ones(len(labels), bool)
             new[1:] = labels[1:] != labels[:-1]
             new[first[:-1][first[:-1] < len(labels)]] = True
@@ -218,37 +247,28 @@ def label_spans(docs: DataFrame, model: Model) -> DataFrame:
             end_of.append(word_end - first[text_of])
             lang_of.append(labels[at])
             size = np.concatenate(([0], np.cumsum(ends - starts)))
-            bytes_of.append(size[word_end] - size[at])
+            size = size[word_end] - size[at]
+            bytes_of.append(size)
             counts = np.bincount(text_of, minlength=part.n) if len(at) else np.zeros(part.n, np.int64)
             ends_of.append(done + np.cumsum(counts))
             done += len(at)
+            per = np.bincount(text_of * max(k, 1) + labels[at], weights=size, minlength=part.n * max(k, 1)).reshape(part.n, -1)
+            best = per.shape[1] - 1 - per[:, ::-1].argmax(axis=1)
+            best_of.append(best)
+            share_of.append(per[np.arange(part.n), best] / np.maximum(per.sum(axis=1), 1))
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        names = pa.array(np.array(model.langs, dtype=object)[join(lang_of, np.int64)] if done else [], pa.string())
-        body = pa.StructArray.from_arrays([pa.array(join(start_of, np.int32)), pa.array(join(end_of, np.int32)), names, pa.array(join(bytes_of, np.int64))], names=["start", "end", "lang", "bytes"])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends_of), pa.int32()), body)
-
-    return docs.withColumn("__spans", spans("text"))
-
-
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with __lang, the language with the most bytes in its spans (ties:
-    the last by name; `und` without a letter), and __score, its share."""
-    def bytes_in(spans: Column) -> Column:
-        return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["bytes"])
-
-    def of(lang: str) -> Column:
-        return F.filter("__spans", lambda x: x["lang"] == lang)
+        names = np.array([*model.langs, "und"], dtype=object)
+        body = pa.StructArray.from_arrays([pa.array(join(start_of, np.int32)), pa.array(join(end_of, np.int32)), pa.array(names[join(lang_of, np.int64)], pa.string()), pa.array(join(bytes_of, np.int64))], names=["start", "end", "lang", "bytes"])
+        spans = pa.ListArray.from_arrays(pa.array(np.concatenate(ends_of), pa.int32()), body)
+        share = join(share_of, np.float64)
+        lang = names[np.where(share > 0, join(best_of, np.int64), k)]
+        return pa.StructArray.from_arrays([spans, pa.array(lang, pa.string()), pa.array(share)], names=["spans", "lang", "score"])
 
-    total = bytes_in(F.col("__spans"))
-    each = [F.struct(bytes_in(of(lang)).alias("n"), F.lit(lang).alias("lang")) for lang in model.langs]
-    top = F.array_max(F.array(*each)) if each else F.lit(None).cast("struct<n:long,lang:string>")
-    rows = label_spans(docs, model).withColumn("__top", top).withColumn("__total", total)
-    some = F.col("__total") > 0
-    return rows.withColumn("__lang", F.when(some, F.col("__top.lang")).otherwise("und")).withColumn("__score", F.when(some, F.col("__top.n") / F.greatest("__total", F.lit(1))).otherwise(0.0)).drop("__top", "__total")
+    return docs.withColumn(into, find("text"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs)
-    rows = predicted(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", (_learn.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    rows = identified(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", (_learn.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"))
