@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_scopes: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written inside it without `keep`; its rows must
+    have been used by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(spark, *_scopes.pop())
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
     """The rows of `df`, written once as Parquet and read back: lineage ends
     here, and a lost executor loses nothing."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
