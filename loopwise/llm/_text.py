@@ -76,14 +76,15 @@ class Slice:
         ends = np.flatnonzero(w & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def word_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
         """64-bit hash of each lower-cased word, alike at any position.  A long
         document goes through in stretches of whole words."""
         out, i = np.empty(len(starts), dtype=np.uint64), 0
         while i < len(starts):
             first = int(starts[i])
             j = max(i + 1, int(np.searchsorted(ends, first + SLICE_BYTES, side="right")))
-            data = _LOWER[self.raw[first : ends[j - 1]]]
+            data = self.raw[first : ends[j - 1]]
+            data = _LOWER[data] if lower else data
             sums = np.zeros(len(data) + 1, dtype=np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
             a, b = starts[i:j] - first, ends[i:j] - first

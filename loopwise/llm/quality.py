@@ -150,14 +150,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     return fit(x, got["label"].to_numpy())
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with score.  Null text counts as empty."""
+def score(model: Model):
+    """A column function of a text: the probability of label 1.  Null text counts
+    as empty."""
 
     @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
+    def of(text: pa.Array) -> pa.Array:
         return pa.array(model.scores(statistics(text)), pa.float64())
 
-    return docs.withColumn("__score", score("text"))
+    return of
+
+
+def scored(docs: DataFrame, model: Model, into: str = "__score") -> DataFrame:
+    """`docs` with the score of each row's whole text as column `into` (a column of
+    that name is replaced; all others stay).
+
+    Null, empty and word-less texts are scored by their statistics, all 0; equal
+    texts score alike, however often a row is repeated; a row is judged by itself,
+    so very long texts need room for their own words only; an empty table gives an
+    empty result."""
+    return docs.withColumn(into, score(model)("text"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
