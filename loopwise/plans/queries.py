@@ -4,45 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loopwise import store
 from loopwise.functions import evidence, geo
 from loopwise.operators import elevation, paths, ranking, sequence, spatial
+from loopwise.plans.base import query, rounded as _rounded
 from loopwise.sources import elements
 from loopwise.sources import routes as R
 
 #: Metres that the requests ask for.
 TARGET = 2000.0
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = f"with {R.SQL.strip()}\n{sql}"
-        return f
-
-    return add
-
-
-def _rounded(df, digits: int = 6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t == "int" else c for c, t in df.dtypes])
-
 
 _HAVERSINE = "12742000.0::double * asin(least(1.0, sqrt(power(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * power(sin(radians({3} - {2}) / 2), 2))))"
 _T = "greatest(0.0, least(1.0, ((lon - lon1) * 90000 * (lon2 - lon1) * 90000 + (lat - lat1) * 111320 * (lat2 - lat1) * 111320) / (power((lon2 - lon1) * 90000, 2) + power((lat2 - lat1) * 111320, 2))))"
 _ON = _HAVERSINE.format("lat", "(lat1 + (lat2 - lat1) * t)", "lon", "(lon1 + (lon2 - lon1) * t)")
 
-_EVIDENCE = """, seg as (select *, coalesce(highway in ('footway', 'pedestrian'), false) and not crossing and not steps as "on" from segments),
-ev as (select request_id, route_id, sum(length) length, sum(case when "on" then length else 0 end) walk_m,
-    sum(case when "on" and surface = 'asphalt' then length else 0 end) paved_walk_m, sum(case when "on" and lit = 'yes' then length else 0 end) lit_walk_m,
-    sum(case when "on" and width >= 3 then length else 0 end) wide_walk_m, sum(case when steps then length else 0 end) steps_m,
-    sum(case when surface = 'gravel' then length else 0 end) unpaved_m, sum(case when surface is null then length else 0 end) surface_unknown_m
+_PAVED, _UNPAVED = (f"surface in ({', '.join(map(repr, names))})" for names in (evidence.PAVED, evidence.UNPAVED))
+_m = lambda condition, name: f"sum(case when {condition} then length else 0 end) {name}"
+_WALK = """, seg as (select *, coalesce(highway in ('footway', 'pedestrian'), false) and not crossing and not steps and not motor_allowed "on" from segments),
+walked(route_id, seq, run, most, seen) as (
+  select route_id, 0::bigint, 0.0::double, 0.0::double, []::struct(p bigint, lo double, hi double)[] from (select distinct route_id from segments)
+  union all
+  select route_id, seq, run, greatest(most, run), case when "on" then list_append(case when again then []::struct(p bigint, lo double, hi double)[] else seen end, {'p': physical_id, 'lo': lo, 'hi': hi}) else [] end
+  from (select *, case when not "on" then 0.0::double when again then length else before + length end run from (
+    select seg.*, least(from_m, to_m) lo, greatest(from_m, to_m) hi, t.run before, most, seen, len(list_filter(seen, lambda y: y.p = physical_id and least(y.hi, greatest(from_m, to_m)) - greatest(y.lo, least(from_m, to_m)) > 0.05)) > 0 again
+    from seg join walked t on t.route_id = seg.route_id and seg.seq = t.seq + 1))),
+lw as (select route_id, max(most) longest_walk_m from walked group by 1)"""
+_EVIDENCE = _WALK + f""", ev as (select request_id, route_id, sum(length) length, {_m('"on"', 'walk_m')}, {_m(_PAVED, 'paved_m')}, {_m(_UNPAVED, 'unpaved_m')}, {_m('surface is not null', 'surface_known_m')},
+    {_m("lit = 'yes'", 'lit_yes_m')}, {_m("lit = 'no'", 'lit_no_m')}, {_m("lit in ('yes', 'no')", 'lit_known_m')}, {_m('width is not null', 'width_known_m')}, {_m('width >= 3', 'wide_m')},
+    {_m(f'"on" and {_PAVED}', 'paved_walk_m')}, {_m("\"on\" and lit = 'yes'", 'lit_walk_m')}, {_m('"on" and width >= 3', 'wide_walk_m')}, {_m('steps', 'steps_m')}
   from seg group by 1, 2),
-sc as (select *, bonus - 30 * error score from (select *, 20 * walk_m / length + 30 * paved_walk_m / length + 15 * lit_walk_m / length + 15 * wide_walk_m / length bonus, abs(length - 2000) / 2000 error from ev))"""
+bo as (select ev.*, longest_walk_m, 20 * walk_m / length w, 30 * paved_walk_m / length p, 15 * lit_walk_m / length l, 15 * wide_walk_m / length d, case when longest_walk_m >= 500 then 10 * least(1.0, longest_walk_m / 2000) else 0 end c from ev join lw using (route_id)),
+sc as (select *, bonus - 30 * error score from (select * exclude (w, p, l, d, c), w + p + l + d + c bonus, abs(length - 2000) / 2000 error from bo))"""
 _CROSSINGS = """, cr as (select route_id, count(*) n_crossings, count(*) filter (tagged or nearby) n_signals, count(*) filter (not tagged and nearby) n_inferred, count(*) filter (not tagged and not nearby and unknown) n_unknown
   from (select route_id, run, bool_or(signal = 'tagged') tagged, bool_or(signal = 'nearby') nearby, bool_or(signal = 'unknown') unknown
     from (select *, sum((crossing and not before)::int) over (partition by route_id order by seq) run from (select *, coalesce(lag(crossing) over (partition by route_id order by seq), false) before from segments)) where crossing group by 1, 2) group by 1)"""
+_PASSAGES = """, kn as (select s.route_id, s.seq, "at", crossing, s.physical_id, sign(to_m - from_m)::bigint way, coalesce(sgn.signal, 'unknown') known from segments s left join sgn on sgn.physical_id = s.physical_id),
+pa(route_id, seq, n, seen) as (
+  select route_id, 0::bigint, 0::bigint, []::struct(p bigint, w bigint)[] from (select distinct route_id from segments)
+  union all
+  select route_id, seq, n + (crossing and fresh)::bigint, case when not crossing then [] when fresh then [{'p': physical_id, 'w': way}] else list_append(list_filter(seen, lambda y: y.p <> physical_id), {'p': physical_id, 'w': way}) end
+  from (select kn.*, n, seen, len(seen) = 0 or len(list_filter(seen, lambda y: y.p = physical_id and y.w <> way)) > 0 fresh from kn join pa on pa.route_id = kn.route_id and kn.seq = pa.seq + 1)),
+pg as (select route_id, n, min("at") "at", bool_or(known = 'tagged') tagged, bool_or(known = 'nearby') nearby, bool_or(known = 'unknown') unk from kn join pa using (route_id, seq) where crossing group by 1, 2),
+pc as (select route_id, count(n) n_passages, count(*) filter (tagged or nearby) n_signals, count(*) filter (not tagged and nearby) n_inferred, count(*) filter (not tagged and not nearby and unk) n_unknown from (select distinct route_id from segments) left join pg using (route_id) group by 1)"""
 _SWEEP = """, ev0 as (select request_id, route_id, physical_id, x lo, sum(d) d from (select request_id, route_id, physical_id, least(from_m, to_m) x, 1 d from segments union all select request_id, route_id, physical_id, greatest(from_m, to_m), -1 from segments) group by all),
 cov as (select request_id, route_id, physical_id, lo, hi, times from (select *, sum(d) over w times, lead(lo) over w hi from ev0 window w as (partition by request_id, route_id, physical_id order by lo)) where times > 0 and hi > lo),
 tot as (select route_id, sum((hi - lo) * times) total from cov group by 1),
@@ -51,7 +55,7 @@ prs as (select a.request_id, a.route_id a, b.route_id b, sum((least(a.hi, b.hi)
 sim as (select prs.*, x.total total_a, y.total total_b, least(1.0, 2 * shared_m / (x.total + y.total)) dice from prs join tot x on x.route_id = a join tot y on y.route_id = b)"""
 
 
-@query(_EVIDENCE.lstrip() + " select * exclude (error, score) replace (round(bonus, 6) as bonus) from sc")
+@query(_EVIDENCE + " select * exclude (error, score) replace (round(bonus, 6) as bonus) from sc")
 def segment_evidence(spark, d):
     return _rounded(sequence.route_evidence(R.segments(spark, d)))
 
@@ -63,7 +67,7 @@ def crossing_groups(spark, d):
 
 @query("""select route_id, kind, min(start_m) start_m, max(end_m) end_m from (select *, sum((end_before is null or start_m - end_before >= 0.1)::int) over (partition by route_id, kind order by start_m, end_m) run
   from (select *, lag(end_m) over (partition by route_id, kind order by start_m, end_m) end_before from (
-    select route_id, 'steps' kind, "at" start_m, "at" + length end_m from segments where steps union all select route_id, 'unpaved', "at", "at" + length from segments where surface = 'gravel'
+    select route_id, 'steps' kind, "at" start_m, "at" + length end_m from segments where steps union all select route_id, 'unpaved', "at", "at" + length from segments where """ + _UNPAVED + """
     union all select route_id, 'unlit', "at", "at" + length from segments where lit = 'no'))) group by route_id, kind, run""")
 def condition_runs(spark, d):
     return sequence.condition_runs(R.segments(spark, d))
@@ -83,25 +87,79 @@ def _scored(spark, d):
     return ranking.scored(sequence.route_evidence(R.segments(spark, d)), TARGET)
 
 
-@query(_EVIDENCE + _SWEEP + """, ea as (select a route_id, b peer, shared_m, total_b peer_total from sim union all select b, a, shared_m, total_a from sim),
+_PENALTY = """, ea as (select a route_id, b peer, shared_m, total_b peer_total from sim union all select b, a, shared_m, total_a from sim),
 pk as (select ea.route_id, peer, p.length peer_length, row_number() over (partition by ea.route_id order by greatest(0, p.length - 2000), abs(p.length - 2000), peer) n
-  from ea join sc r on r.route_id = ea.route_id join sc p on p.route_id = peer where r.length > p.length + 0.5 and shared_m >= 0.999 * peer_total)
-select sc.request_id, sc.route_id, coalesce(peer, -1) peer, round(coalesce(150 * greatest(0, length - greatest(2000, peer_length)) / 2000, 0), 6) penalty, round(score - coalesce(150 * greatest(0, length - greatest(2000, peer_length)) / 2000, 0), 6) final_score
-from sc left join pk on pk.route_id = sc.route_id and n = 1""")
+  from ea join sc r on r.route_id = ea.route_id join sc p on p.route_id = peer where r.length > p.length + 0.5 and shared_m >= 0.999 * peer_total),
+fi as (select sc.*, peer, coalesce(150 * greatest(0, length - greatest(2000, peer_length)) / 2000, 0) penalty from sc left join pk on pk.route_id = sc.route_id and n = 1)"""
+
+
+def _finals(spark, d, segments=None):
+    """Routes with their scores less the penalty for metres beyond a subset."""
+    segments = R.segments(spark, d) if segments is None else segments
+    pairs = sequence.similar_pairs(sequence.coverage_sweep(segments))
+    return ranking.subset_penalty(ranking.scored(sequence.route_evidence(segments), TARGET), pairs, TARGET)
+
+
+@query(_EVIDENCE + _SWEEP + _PENALTY + " select request_id, route_id, coalesce(peer, -1) peer, round(penalty, 6) penalty, round(score - penalty, 6) final_score from fi")
 def subset_penalty(spark, d):
-    pairs = sequence.similar_pairs(sequence.coverage_sweep(R.segments(spark, d)))
-    return _rounded(ranking.subset_penalty(_scored(spark, d), pairs, TARGET).select("request_id", "route_id", F.coalesce("peer", F.lit(-1)).alias("peer"), "penalty", "final_score"))
+    return _rounded(_finals(spark, d).select("request_id", "route_id", F.coalesce("peer", F.lit(-1)).alias("peer"), "penalty", "final_score"))
 
 
-@query(_EVIDENCE + _CROSSINGS + """, al as (select sc.*, coalesce(n_signals, 0) n_signals, coalesce(n_unknown, 0) n_unknown from sc left join cr using (route_id)),
-pi as (select request_id, route_id, score, 0 rank, 'best' reason, row_number() over (partition by request_id order by score desc, error, route_id) n from al
-  union all select request_id, route_id, score, 1, 'flat', row_number() over (partition by request_id order by steps_m, score desc, error, route_id) from al
-  union all select request_id, route_id, score, 2, 'flow', row_number() over (partition by request_id order by n_signals, score desc, error, route_id) from al where n_unknown = 0)
-select request_id, route_id, round(max(score), 6) score, string_agg(reason, '+' order by rank) reasons from pi where n = 1 group by 1, 2""")
+_SAMPLES = """, le as (select route_id, sum(length) length from segments group by 1),
+p0 as (select route_id, length, unnest(range(0, greatest(floor((length - 1.000001) / 50)::bigint, 0) + 1)) i from le),
+p1 as (select route_id, i, i * 50.0::double "at" from p0 where not (i > 0 and i = greatest(floor((length - 1.000001) / 50)::bigint, 0) and length - i * 50 < 25)),
+p2 as (select * from p1 union all select route_id, (select max(i) from p1 where p1.route_id = le.route_id) + 1, length from le),
+sa as (select *, case when (route_id + i) % 17 <> 0 then (route_id * 7 + i * 13) % 37 * 1.0::double end elevation from p2)"""
+_ALL = _EVIDENCE + _PASSAGES + _SWEEP + _PENALTY + _SAMPLES + """, er as (select route_id, count(*) = count(elevation) elevation_known, max(elevation) - min(elevation) range_m from sa group by 1),
+al as (select fi.*, score - penalty rs, n_signals, n_unknown, elevation_known, range_m from fi join pc using (route_id) join er using (route_id))"""
+
+
+def _samples(spark, d):
+    lengths = R.segments(spark, d).groupBy("route_id").agg(F.sum("length").alias("length"))
+    each = lengths.select("route_id", F.posexplode(elevation.sample_positions(F.col("length"))).alias("i", "at"))
+    return each.withColumn("elevation", F.when((F.col("route_id") + F.col("i")) % 17 != 0, (F.col("route_id") * 7 + F.col("i") * 13) % 37 * 1.0))
+
+
+def _ranked(spark, d):
+    """All that `recommend` reads, with the segments made and written once."""
+    segments, _ = store.written(R.segments(spark, d), "segments")
+    heights = elevation.ranges(_samples(spark, d), "route_id")
+    rows = _finals(spark, d, segments).join(sequence.crossing_passages(segments, R.signals(spark, d)), "route_id").join(heights, "route_id")
+    return ranking.rank_score(rows)
+
+
+@query(_ALL + """, pi as (select request_id, route_id, rs, 0 rank, 'best' reason, row_number() over (partition by request_id order by rs desc, error, route_id) n from al
+  union all select request_id, route_id, rs, 1, 'elevation', row_number() over (partition by request_id order by range_m, rs desc, error, route_id) from al where elevation_known
+  union all select request_id, route_id, rs, 2, 'signals', row_number() over (partition by request_id order by n_signals, rs desc, error, route_id) from al where n_unknown = 0)
+select request_id, route_id, round(max(rs), 6) score, string_agg(reason, '+' order by rank) reasons from pi where n = 1 group by 1, 2""")
 def recommend(spark, d):
-    crossings = sequence.crossing_groups(R.segments(spark, d)).select("route_id", "n_signals", "n_unknown")
-    rows = _scored(spark, d).join(crossings, "route_id", "left").fillna(0, ["n_signals", "n_unknown"])
-    return _rounded(ranking.recommend(rows))
+    return _rounded(ranking.recommend(_ranked(spark, d)))
+
+
+@query(_ALL + """ select request_id, reason from (select request_id, unnest(['elevation', 'signals']) reason, unnest([count(*) filter (elevation_known), count(*) filter (n_unknown = 0)]) n from al group by 1) where n = 0""")
+def pending_reasons(spark, d):
+    return ranking.pending(_ranked(spark, d))
+
+
+@query(_EVIDENCE + """ select request_id, route_id, benefit, round(bonus, 6) bonus, row_number() over (partition by route_id order by bonus desc, i) place
+from (select request_id, route_id, unnest(['walk', 'paved_walk', 'lit_walk', 'wide_walk', 'continuous']) benefit, unnest([w, p, l, d, c]) bonus, unnest(range(5)) i from bo) where bonus > 0""")
+def route_benefits(spark, d):
+    return _rounded(sequence.benefits(sequence.route_evidence(R.segments(spark, d))))
+
+
+@query(_EVIDENCE + """ select route_id, what, floor((1 - known / length) * 100 + 0.5)::bigint percent from (select route_id, length, unnest(['surface', 'lit', 'width']) what, unnest([surface_known_m, lit_known_m, width_known_m]) known from sc) where known < length - 0.1""")
+def unknown_shares(spark, d):
+    return sequence.unknowns(sequence.route_evidence(R.segments(spark, d)))
+
+
+@query(_PASSAGES + """ select * from pc""")
+def crossing_passages(spark, d):
+    return sequence.crossing_passages(R.segments(spark, d), R.signals(spark, d))
+
+
+@query(_WALK + " select * from lw")
+def longest_walk(spark, d):
+    return sequence.longest_walk(R.segments(spark, d))
 
 
 @query(f"select edge_id, round({_HAVERSINE.format('lat1', 'lat2', 'lon1', 'lon2')}, 6) metres from edges")
@@ -196,19 +254,6 @@ def terrain_bilinear(spark, d):
     return _rounded(elevation.bilinear(points, "c_custkey", terrain))
 
 
-def _samples(spark, d):
-    lengths = R.segments(spark, d).groupBy("route_id").agg(F.sum("length").alias("length"))
-    each = lengths.select("route_id", F.posexplode(elevation.sample_positions(F.col("length"))).alias("i", "at"))
-    return each.withColumn("elevation", F.when((F.col("route_id") + F.col("i")) % 17 != 0, (F.col("route_id") * 7 + F.col("i") * 13) % 37 * 1.0))
-
-
-_SAMPLES = """, le as (select route_id, sum(length) length from segments group by 1),
-p0 as (select route_id, length, unnest(range(0, greatest(floor((length - 1.000001) / 50)::bigint, 0) + 1)) i from le),
-p1 as (select route_id, i, i * 50.0::double "at" from p0 where not (i > 0 and i = greatest(floor((length - 1.000001) / 50)::bigint, 0) and length - i * 50 < 25)),
-p2 as (select * from p1 union all select route_id, (select max(i) from p1 where p1.route_id = le.route_id) + 1, length from le),
-sa as (select *, case when (route_id + i) % 17 <> 0 then (route_id * 7 + i * 13) % 37 * 1.0::double end elevation from p2)"""
-
-
 @query(_SAMPLES + """ select route_id, i, "at", floor(coalesce((lag(elevation) over w + elevation + lead(elevation) over w) / 3, elevation) * 10 + 0.5) / 10 elevation from sa window w as (partition by route_id order by i)""")
 def elevation_samples(spark, d):
     return _rounded(elevation.smoothed(_samples(spark, d), "route_id"))
@@ -240,7 +285,7 @@ def edge_usage(spark, d):
     return sequence.edge_usage(R.segments(spark, d))
 
 
-@query(" select route_id, sum(case when crossing then length else 0 end) crossing_m, sum(case when steps then length else 0 end) steps_m, sum(case when surface = 'gravel' then length else 0 end) unpaved_m, sum(case when lit = 'no' then length else 0 end) unlit_m from segments group by 1")
+@query(" select route_id, sum(case when crossing then length else 0 end) crossing_m, sum(case when steps then length else 0 end) steps_m, " + _m(_UNPAVED, "unpaved_m") + ", sum(case when lit = 'no' then length else 0 end) unlit_m from segments group by 1")
 def recorded_burden(spark, d):
     return sequence.recorded_burden(R.segments(spark, d))
 
@@ -251,9 +296,11 @@ def route_variation(spark, d):
     return sequence.variation(sequence.similar_pairs(sequence.coverage_sweep(R.segments(spark, d)))).select("a", "b", "variation")
 
 
-@query(_EVIDENCE + " select request_id, route_id, length from sc where error <= 0.2 + 1e-8")
+@query(_EVIDENCE + " select request_id, route_id, length, 1600.0::double least_m, 2400.0::double most_m from sc join (select route_id, sum(case way when 0 then 1 when 2 then -1 else 0 end) r, sum(case way when 1 then 1 when 3 then -1 else 0 end) c from segments group by 1) using (route_id) where error <= 0.2 + 1e-8 and ((r = 0 and c = 0) or route_id % 3 = 0)")
 def valid_candidates(spark, d):
-    return ranking.within_bounds(_scored(spark, d)).select("request_id", "route_id", "length")
+    closed = sequence.closures(R.points(spark, d))
+    rows = ranking.within_bounds(_scored(spark, d).join(closed, "route_id"))
+    return ranking.distance_bounds(rows, TARGET).select("request_id", "route_id", "length", "least_m", "most_m")
 
 
 @query(_EVIDENCE + " select request_id, route_id, 2000 - length missing_m from sc where 2000 - length between 9.99 and 100.01")
@@ -279,19 +326,15 @@ def signal_edges(spark, d):
     return spatial.edges_near_points(R.edges(spark, d), R.pois(spark, d), 30.0)
 
 
-@query()
+@query(_SAMPLES + """, sm as (select route_id, i, floor(coalesce((lag(elevation) over w + elevation + lead(elevation) over w) / 3, elevation) * 10 + 0.5) / 10 elevation from sa window w as (partition by route_id order by i)),
+cl(route_id, i, spot, up, down) as (
+  select route_id, -1::bigint, null::double, 0.0::double, 0.0::double from le
+  union all
+  select route_id, i, case when elevation is null then null when spot is null or abs(elevation - spot) >= 3 then elevation else spot end, up + case when elevation - spot >= 3 then elevation - spot else 0 end, down + case when spot - elevation >= 3 then spot - elevation else 0 end
+  from (select sm.*, spot, up, down from sm join cl on cl.route_id = sm.route_id and sm.i = cl.i + 1))
+select route_id, round(max(up), 6) ascent, round(max(down), 6) descent from cl group by 1""")
 def ascent(spark, d):
-    return elevation.climbs(elevation.smoothed(_samples(spark, d), "route_id"), "route_id")
-
-
-@query()
-def longest_walk(spark, d):
-    return sequence.longest_walk(R.segments(spark, d))
-
-
-@query()
-def crossing_passages(spark, d):
-    return sequence.crossing_passages(R.segments(spark, d))
+    return _rounded(elevation.climbs(elevation.smoothed(_samples(spark, d), "route_id"), "route_id"))
 
 
 @query("select route_id from (select route_id, row_number() over (partition by request_id, sig order by route_id) n from (select request_id, route_id, string_agg(physical_id || ':' || from_m::bigint || ':' || to_m::bigint, ',' order by seq) sig from segments group by 1, 2)) where n = 1")

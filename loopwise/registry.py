@@ -1,5 +1,6 @@
 """The registered queries of the route library and their SQL."""
 
-from loopwise.plans.queries import ORACLES, QUERIES
+from loopwise.plans import queries  # noqa: F401
+from loopwise.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

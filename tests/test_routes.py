@@ -43,7 +43,7 @@ def test_longest_walk(spark):
         run = most = 0.0
         seen = []
         for s in parts:
-            if s.highway in ("footway", "pedestrian") and not s.crossing and not s.steps:
+            if s.highway in ("footway", "pedestrian") and not s.crossing and not s.steps and not s.motor_allowed:
                 lo, hi = sorted((s.from_m, s.to_m))
                 if any(p == s.physical_id and min(h, hi) - max(a, lo) > 0.05 for p, a, h in seen):
                     run, seen = 0.0, []
@@ -85,9 +85,37 @@ def test_sample_positions(spark, length, want):
     assert got == [float(x) for x in want]
 
 
-def test_a_range_of_zero_wins_and_unknown_never_does(spark):
-    df = spark.createDataFrame([(1, 1, 100.0, 0.0, None, 0, 2), (1, 2, 80.0, 0.1, 0.0, 3, 0), (1, 3, 70.0, 0.0, 5.0, 1, 0)], "request_id int, route_id int, score double, error double, steps_m double, n_signals int, n_unknown int")
-    assert {r.route_id: r.reasons for r in ranking.recommend(df).collect()} == {1: "best", 2: "flat", 3: "flow"}
+def ranked(spark, rows):
+    """Winners and open reasons of routes (id, score, range, signals, unknown[, error])."""
+    table = [(1, i, float(s), e[0] if e else 0.0, None if r is None else float(r), r is not None, n, u) for i, s, r, n, u, *e in rows]
+    df = spark.createDataFrame(table, "request_id int, route_id int, final_score double, error double, range_m double, elevation_known boolean, n_signals int, n_unknown int")
+    df = ranking.rank_score(df)
+    return {r.route_id: r.reasons for r in ranking.recommend(df).collect()}, sorted(r.reason for r in ranking.pending(df).collect())
+
+
+def test_winners_outside_the_best_three(spark):
+    assert ranked(spark, [(1, 100, 40, 4, 0), (2, 95, 39, 4, 0), (3, 90, 38, 4, 0), (4, 80, 5, 3, 0), (5, 70, 30, 1, 0)]) == ({1: "best", 4: "elevation", 5: "signals"}, [])
+
+
+def test_unknown_is_not_zero(spark):
+    assert ranked(spark, [(1, 100, None, 0, 2), (2, 90, 30, 3, 0)]) == ({1: "best", 2: "elevation+signals"}, [])
+
+
+def test_reasons_without_a_route_are_pending(spark):
+    assert ranked(spark, [(1, 100, None, 0, 1)]) == ({1: "best"}, ["elevation", "signals"])
+
+
+def test_a_range_of_zero_wins(spark):
+    assert ranked(spark, [(1, 100, 10, 1, 0), (2, 90, 0, 2, 0)])[0] == {1: "best+signals", 2: "elevation"}
+
+
+def test_ties_go_to_error_and_id(spark):
+    assert ranked(spark, [(1, 50, 9, 1, 0, 0.1), (3, 50, 9, 1, 0, 0.0), (2, 50, 9, 1, 0, 0.0)])[0] == {2: "best+elevation+signals"}
+
+
+def test_the_first_known_score_counts(spark):
+    df = spark.createDataFrame([(1, None, 0.0, 9.0), (2, 5.0, 7.0, 9.0), (3, None, None, 4.0), (4, None, None, None)], "id int, final_score double, score double, bonus double")
+    assert [r.rank_score for r in ranking.rank_score(df).orderBy("id").collect()] == [0.0, 5.0, 4.0, 0.0]
 
 
 def test_access_rules(spark):
@@ -115,7 +143,7 @@ def test_near_edges_equals_all_pairs(spark):
 def test_empty_tables(spark):
     none = routes.segments(spark, SF).limit(0)
     assert sequence.crossing_groups(none).count() == sequence.longest_walk(none).count() == sequence.similar_pairs(sequence.coverage_sweep(none)).count() == 0
-    assert geo.half_up(F.lit(-2.5)) is not None
+    assert [spark.range(1).select(geo.half_up(F.lit(x)).alias("x")).first().x for x in (-2.5, 2.5, 2.4)] == [-2, 3, 2]
 
 
 def test_sanitising_twice_changes_nothing(spark):
