@@ -8,6 +8,7 @@ so that readers fetch some documents or the metadata columns alone.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopwise.llm import _store, _text
+from loopwise.llm import _store
 
-#: Distinct words whose ids a task keeps; beyond it, it starts anew.
-CACHE_WORDS = 200_000
+#: Distinct words whose ids a task keeps, twice over: the words of late and,
+#: until as many new ones have come, those before them.
+CACHE_WORDS = 300_000
 
 #: A run of these after letters is a piece of its own.
 _TAIL = b"!#$%&*+,-./:;=?@^_~"
@@ -28,13 +30,12 @@ _encoders: dict[tuple[str, int], _Encoder] = {}
 
 
 class _Encoder:
-    """Ids of whole texts.
+    """Ids of whole texts as little-endian bytes.
 
     The vocabulary's pattern never spans white space and parts letters from
     punctuation, so the ids of a text are those of its words, and each word is
-    encoded once while it stays in memory.  Words are told apart by a hash, and
-    each is compared with the one that its ids come from.  Words of letters alone
-    are encoded many at a time: each ends in one id of an end-of-word token."""
+    encoded once while it stays in memory.  Words of letters alone are encoded
+    many at a time: each ends in one id of an end-of-word token."""
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -47,11 +48,12 @@ class _Encoder:
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.known: dict[int, tuple[bytes, bytes]] = {}  # by hash: a word and its ids
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def forget(self) -> None:
         """Drops what a task has learned: workers outlive their tasks."""
-        self.known = {}
+        self.young, self.old = {}, {}
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -66,7 +68,7 @@ class _Encoder:
         body, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
         return [body[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
 
-    def _ids(self, fresh: list[bytes]) -> list[bytes]:
+    def _learn(self, fresh: list[bytes]) -> None:
         bare = [w.rstrip(_TAIL) for w in fresh]
         # One capital letter maps to a letter and a mark, which binds to what follows.
         letters = [b for b in {*bare} if (x := b.decode()).isalpha() and x.lower().isalpha()]
@@ -74,49 +76,30 @@ class _Encoder:
         for at in range(0, len(letters), 1000):
             part = letters[at : at + 1000]
             ids.update(zip(part, self._letters([b.decode() for b in part]), strict=True))
-        out = []
         for w, b in zip(fresh, bare, strict=True):
             tail = w[len(b) :]
             if tail not in ids:
                 ids[tail] = self._one(tail.decode())
-            out.append(ids[b] + ids[tail] if b in ids else self._one(w.decode()))
+            self.young[w] = ids[b] + ids[tail] if b in ids else self._one(w.decode())
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        gc.disable()  # millions of short-lived strings, no cycles
+        split = [t.split() for t in texts]
+        fresh = []
+        for w in set().union(*split) - self.young.keys():
+            ids = self.old.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                self.young[w] = ids
+        self._learn(fresh)
+        get, end = self.young.__getitem__, self.end
+        out = [b"".join([*map(get, words), end]) for words in split]
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        gc.enable()
         return out
 
-    def __call__(self, part: _text.Slice) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each document has, with the end id, and all of them."""
-        starts, ends, first = part.words()
-        hashes = part.word_hashes(starts, ends, lower=False)
-        keys, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        raw, lengths = part.raw, ends - starts
-        # Every word is, byte by byte, the example of its hash.
-        same = bool((lengths == lengths[example][inverse]).all())
-        if same and len(starts):
-            inside = np.arange(int(lengths.sum())) - np.repeat(np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-            same = bool((raw[np.repeat(starts, lengths) + inside] == raw[np.repeat(starts[example][inverse], lengths) + inside]).all())
-        if not same:  # two words of one hash: each of this slice on its own
-            keys, inverse = np.arange(len(starts)), np.arange(len(starts))
-            example, known = keys, {}
-        else:
-            if len(self.known) > CACHE_WORDS:
-                self.forget()
-            known = self.known
-        body = raw.tobytes()
-        words = [body[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
-        keys = keys.tolist()
-        fresh = [i for i, (k, w) in enumerate(zip(keys, words, strict=True)) if k not in known or known[k][0] != w]
-        for i, ids in zip(fresh, self._ids([words[i] for i in fresh]), strict=True):
-            known[keys[i]] = words[i], ids
-        coded = [*(known[k][1] for k in keys), self.end]
-        size = np.array([len(c) // 4 for c in coded], dtype=np.int64)
-        flat, at = np.frombuffer(b"".join(coded), dtype=np.int32), np.concatenate(([0], np.cumsum(size)[:-1]))
-        # The end id stands as one more word behind each document.
-        pieces = np.insert(inverse, first[1:], len(keys))
-        n = size[pieces]
-        done = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(at[pieces] - done[:-1], n) + np.arange(int(done[-1]))]
-        last = first[1:] + np.arange(1, part.n + 1)
-        return np.diff(done[np.concatenate(([0], last))]), ids
-
 
 def _encoder(path: str, end_id: int) -> _Encoder:
     """One per worker process: later tasks find the words of earlier ones."""
@@ -125,6 +108,20 @@ def _encoder(path: str, end_id: int) -> _Encoder:
     return _encoders[path, end_id]
 
 
+def _batched(texts: pa.Array, most: int = 4 << 20) -> Iterator[list[bytes]]:
+    """Texts (null: empty) in lists of bounded bytes."""
+    part, size = [], 0
+    for t in texts.cast(pa.binary()):
+        t = t.as_py() or b""
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def file_schema(id_type: str = "bigint") -> str:
     return f"doc_id {id_type}, n_tokens long, local_start long, ids array<int>"
 
@@ -145,14 +142,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
         encode, start = _encoder(tokenizer, end_id), 0
         try:
             for batch in batches:
-                for part in _text.slices(batch.column(1)):
-                    n, ids = encode(part)
+                at = 0
+                for part in _batched(batch.column(1)):
+                    coded = encode(part)
+                    n = np.array([len(c) // 4 for c in coded], dtype=np.int64)
                     ends = np.concatenate(([0], np.cumsum(n)))
+                    ids = np.frombuffer(b"".join(coded), dtype=np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(part.first, part.n), pa.array(n), pa.array(start + ends[:-1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
+                        [batch.column(0).slice(at, len(part)), pa.array(n), pa.array(start + ends[:-1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
                         names=["doc_id", "n_tokens", "local_start", "ids"],
                     )
                     start += int(ends[-1])
+                    at += len(part)
         finally:
             encode.forget()
 
