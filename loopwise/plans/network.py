@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loopwise.operators import network
+from loopwise.operators import evaluate, explore, network
 from loopwise.plans.base import query, rounded
 from loopwise.sources import streets as S
 
@@ -18,3 +18,20 @@ def network_edges(spark, d):
 @query(S.SQL + " select (select count(*) from (select u from net union select v from net)) n_nodes, (select count(*) from net) n_edges, (select count(*) from pois where poi_id % 2 = 0 and poi_id % 10 <> 9) n_shops, (select count(*) from pois where poi_id % 2 = 1 and poi_id % 10 <> 9) n_water")
 def network_stats(spark, d):
     return network.stats(network.build(S.elements(spark, d)))
+
+
+def _requests(spark, d, distance: float = 1000.0):
+    """One request for each region, off the streets by some metres."""
+    k = F.col("r_regionkey")
+    return spark.read.parquet(f"{d}/region.parquet").select(k.alias("request_id"), (36.0004 + k * F.lit(0.0007)).alias("lat"), (129.3031 + k * F.lit(0.0012)).alias("lon"), F.lit(distance).alias("distance"), (k % 2 == 0).alias("avoid_steps"))
+
+
+@query()
+def explored_routes(spark, d):
+    """All closed routes that the searches find for each region's request, with
+    what they pass and how they repeat."""
+    x = explore.explored(network.build(S.elements(spark, d)), _requests(spark, d))
+    found = evaluate.facilities(x.segments, x.streets.edge_pois)
+    measured = evaluate.measured(x.segments)
+    rows = x.routes.select("route_id", "candidate", "error", "signature", "n_searches").join(measured, "route_id").join(evaluate.supply(x.routes, found), "route_id").join(evaluate.shapes(x.points, measured), "route_id")
+    return rounded(rows)
