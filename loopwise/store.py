@@ -70,3 +70,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     it is, for a shuffled join.  For narrow written tables only, of which the
     count reads no column."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+@contextlib.contextmanager
+def arrow_bytes(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Batches of at most about so many bytes between Spark and Python for the jobs
+    that run inside it, so that long texts don't add up in an executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, f"{most}b")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
