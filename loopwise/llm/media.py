@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwise.llm import _store
@@ -117,7 +117,10 @@ def fingerprints(recordings: DataFrame, id: str, media: str, decode: Callable[[p
     """Per row: rec_id and prints (packed integers, one per hop of time).
 
     `decode` turns a slice of the media column into samples at RATE.  Null,
-    empty or too short media give no prints."""
+    empty or too short media give no prints; a very long recording is one row of
+    prints, four bytes for each hop; repeated rows give equal prints; columns
+    beside the two are not read, whatever their names; an empty table gives an
+    empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = _pitch_classes()
@@ -150,23 +153,29 @@ def aligned(prints: DataFrame, wanted, votes: int = VOTES, overlap: float = OVER
     (places by which the recording starts after the query; negative: before),
     votes, bit_error, for every two different classes of which the query holds a
     row that `wanted` (a condition on rec_id) selects; one row for each pair that
-    passes, at its offset with the most votes (ties: the smallest).  Only equal
-    integers propose pairs; nothing is capped."""
+    passes, at the offset with the fewest wrong bits among those with enough votes
+    (ties: more votes, then the smallest).  Only equal integers propose pairs, one
+    vote for each run of an integer in either recording; nothing is capped.
+
+    Rows that repeat an id are recordings like others; an empty table gives empty
+    results."""
     key = F.xxhash64("prints")
     some = prints.where("size(prints) > 0 and rec_id is not null")
     classes = some.groupBy(key.alias("k"), "prints").agg(F.min("rec_id").alias("class_id"), F.max(wanted.cast("int")).alias("asked"))
     classes, _ = _store.written(classes, "classes")
     posts = classes.select("class_id", "asked", F.posexplode("prints").alias("at", "v"))
     # Of a run of one integer in one recording the first place votes.
-    posts = posts.groupBy("class_id", "asked", "v").agg(F.min("at").alias("at"))
+    before = F.lag("v").over(Window.partitionBy("class_id").orderBy("at"))
+    posts = posts.withColumn("before", before).where("before is null or before <> v").drop("before")
     queries = posts.where("asked = 1").select(F.col("class_id").alias("query"), "v", F.col("at").alias("q_at"))
     found = queries.join(posts.select("class_id", "v", "at"), "v").where("query <> class_id")
     cast = found.groupBy("query", "class_id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = cast.groupBy("query", "class_id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("minus"))).alias("best"))
-    best = best.select("query", "class_id", (-F.col("best.minus")).alias("offset"), F.col("best.votes").alias("votes")).where(F.col("votes") >= votes)
-    both = best.join(classes.select(F.col("class_id").alias("query"), F.col("prints").alias("a")), "query").join(classes.select("class_id", F.col("prints").alias("b")), "class_id")
+    some = cast.where(F.col("votes") >= votes)
+    both = some.join(classes.select(F.col("class_id").alias("query"), F.col("prints").alias("a")), "query").join(classes.select("class_id", F.col("prints").alias("b")), "class_id")
     wrong, n = wrong_bits(F.col("a"), F.col("b"), F.col("offset"))
-    pairs = both.withColumn("n", n).where(F.col("n") >= F.least(F.size("a"), F.size("b")) * overlap).withColumn("bit_error", wrong / (F.col("n") * 32)).where(F.col("bit_error") <= errors)
+    both = both.withColumn("n", n).where(F.col("n") >= F.least(F.size("a"), F.size("b")) * overlap).withColumn("bit_error", wrong / (F.col("n") * 32)).where(F.col("bit_error") <= errors)
+    best = F.min_by(F.struct("offset", "votes", "bit_error"), F.struct("bit_error", -F.col("votes"), "offset")).alias("s")
+    pairs = both.groupBy("query", "class_id").agg(best).select("query", "class_id", "s.*")
     low = classes.select(F.col("k").alias("k2"), F.col("prints").alias("p2"), "class_id")
     members = prints.withColumn("k", key).join(low, (F.col("k") == F.col("k2")) & (F.col("prints") == F.col("p2")), "left")
     members = members.select("rec_id", F.coalesce(F.size("prints"), F.lit(0)).cast("long").alias("n_prints"), F.coalesce("class_id", "rec_id").alias("class_id"))

@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     numbers; a text id must hold one, or Spark's cast fails.  Extra columns,
     whatever their names, are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
-    marks, _ = _store.written(sketches(docs, size, k), "sketches")
+    with _store.arrow_bytes(spark):
+        marks, _ = _store.written(sketches(docs, size, k), "sketches")
     some = marks.where("n_shingles > 0 and doc_id is not null")
     key = F.xxhash64("set_hi", "set_lo")
     # node: a class of equal sets, named by its smallest document; equal sets
@@ -305,11 +306,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         else:
             left = at.join(open_lists.select("v"), "v").select("node", "component").distinct()
             left, left_at = _store.written(classes.select("doc_id", "node", "set_hi").join(left, "node"), "left")
-            sets, sets_at = _store.written(full_sets(docs, left.drop("component"), size), "sets")
+            with _store.arrow_bytes(spark):
+                sets, sets_at = _store.written(full_sets(docs, left.drop("component"), size), "sets")
             likely, fine_at = _open_pairs(sets, left.select("node", "component"), percent)
             likely, likely_at = _store.written(likely, "likely")
             paths += [left_at, sets_at, likely_at, *fine_at]
-        fresh, path = _store.written(_verified(likely, sets, percent), "links")
+        with _store.arrow_bytes(spark):
+            fresh, path = _store.written(_verified(likely, sets, percent), "links")
         paths.append(path)
         if comp is None or not fresh.isEmpty():
             # Stars found so far say all that the earlier links said.

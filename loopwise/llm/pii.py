@@ -21,12 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 8
+#: Letters and digits that are permuted as one number; longer values in pieces.
+PIECE = 64
+#: Different hexadecimal digits that a secret has at least.
+SECRET_DIGITS = 8
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 # One alternation; its order settles overlaps.
 _FOUND = re.compile(
-    r"""(?P<email>[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)
-    |(?P<secret>(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z]))
+    r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)
+    |(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))
     |(?P<phone>(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9]))
     |(?P<ipv4>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
     |(?P<date>(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-]))
@@ -67,16 +71,17 @@ def _letters(text: str, key: bytes, kind: str, alphabet: str | None = None, back
     number; other characters stay."""
     classes = [alphabet] if alphabet else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     at = [(i, c) for i, ch in enumerate(text) for c in classes if ch in c]
-    value = size = 0
-    size = math.prod(len(c) for _, c in at)
-    for i, c in at:
-        value = value * len(c) + c.index(text[i])
-    shape = "".join(str(classes.index(c)) for _, c in at)
-    value = permute(value, size, key, f"{kind}/{shape}", backwards)
     out = list(text)
-    for i, c in reversed(at):
-        value, n = divmod(value, len(c))
-        out[i] = c[n]
+    for first in range(0, len(at), PIECE):
+        piece, value = at[first : first + PIECE], 0
+        size = math.prod(len(c) for _, c in piece)
+        for i, c in piece:
+            value = value * len(c) + c.index(text[i])
+        shape = "".join(str(classes.index(c)) for _, c in piece)
+        value = permute(value, size, key, f"{kind}/{first}/{shape}", backwards)
+        for i, c in reversed(piece):
+            value, n = divmod(value, len(c))
+            out[i] = c[n]
     return "".join(out)
 
 
@@ -120,11 +125,15 @@ def pseudonym(kind: str, text: str, key: bytes, backwards: bool = False) -> str
         return f"{areas[area]:03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "phone":
         country = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+[0-9]", text)[0]
+        if country[1] == "0" or sum(c.isdigit() for c in text) > 15:
+            return None
         return country + _letters(text[len(country) :], key, "phone/" + country, "0123456789", backwards)
     if kind == "email":
         local, _, domain = text.partition("@")
         return _letters(local, key, "email/" + domain.lower(), None, backwards) + "@" + domain
-    return _letters(text, key, kind, "0123456789abcdef", backwards) if kind == "secret" else None
+    if kind != "secret" or not backwards and (len(set(text)) < SECRET_DIGITS or text.isalpha() or text.isdigit()):
+        return None
+    return _letters(text, key, kind, "0123456789ABCDEF" if any(c in "ABCDEF" for c in text) else "0123456789abcdef", backwards)
 
 
 def found(text: str, known: Callable[[str, str], str | None]) -> Iterator[tuple[str, int, int, str]]:
@@ -153,10 +162,17 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", SPANS)])
 
 
-def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
-    """`docs` with text rewritten and __spans (kind, start, end in characters;
-    the same places before and after, for addresses the new length counts).
-    Null stays null, texts without a valid value stay as they are."""
+def pseudonymised(docs: DataFrame, key: str, into: str = "__spans") -> DataFrame:
+    """`docs` with text rewritten and, as column `into` (a column of that name is
+    replaced), the spans found: kind, start, end in characters, as they stand in the
+    new text.
+
+    Equal values get equal pseudonyms in every row, so repeated rows stay equal; of
+    values that overlap the first in `_FOUND` counts.  Null stays null; empty texts
+    and those without a valid value stay as they are, with no span; very long texts
+    and values are read to their end; other columns, whatever their names, stay;
+    an empty table gives an empty result.  The domain of an address stays in clear:
+    only numbers, dates and names are permuted."""
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
 
     @F.arrow_udf(RESULT)
@@ -177,8 +193,9 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
             out.append({"text": "".join([*parts, t[at:]]), "spans": spans})
         return pa.array(out, pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]))
 
-    rows = docs.withColumn("__found", rewrite("text"))
-    return rows.select(*[F.col("__found.text").alias("text") if c == "text" else docs[c] for c in docs.columns], F.col("__found.spans").alias("__spans"))
+    whole = docs.select(F.struct("*").alias("row"), rewrite("text").alias("found"))
+    keep = [F.col("found.text").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != into]
+    return whole.select(*keep, F.col("found.spans").alias(into))
 
 
 #: The key of the registered query; a user gives their own.

@@ -194,15 +194,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([np.asarray(x, dtype=np.int64) for x in got["x"]], got["label"].to_numpy())
 
 
-def graded(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with __severity (0 to the number of thresholds) and __grade, the
-    severity rounded.  Null and word-less texts hold no feature."""
+def graded(docs: DataFrame, model: Model, into: str = "__severity", grade: str = "__grade") -> DataFrame:
+    """`docs` with the expected severity (0 to the number of thresholds) as column
+    `into` and the same rounded as `grade` (columns of these names are replaced, all
+    others stay).
+
+    Null, empty and word-less texts hold no feature and are graded by the
+    thresholds alone; equal texts are graded alike, however often a row is repeated;
+    very long texts count whole; a model without two grades gives 0; an empty table
+    gives an empty result."""
 
     @F.arrow_udf("double")
     def severity(text: pa.Array) -> pa.Array:
         return pa.array(model.severity(text), pa.float64())
 
-    return docs.withColumn("__severity", severity("text")).withColumn("__grade", F.floor(F.col("__severity") + 0.5).cast("int"))
+    rows = docs.withColumn(into, severity("text"))
+    return rows.withColumn(grade, F.floor(F.col(f"`{into}`") + 0.5).cast("int"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
