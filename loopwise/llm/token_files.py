@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from loopwise.llm import _store
 
-#: Distinct words whose ids a task keeps, twice over: the words of late and,
+#: Distinct words whose ids a worker keeps, twice over: the words of late and,
 #: until as many new ones have come, those before them.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 #: A run of these after letters is a piece of its own.
 _TAIL = b"!#$%&*+,-./:;=?@^_~"
@@ -29,13 +30,22 @@ _TAIL = b"!#$%&*+,-./:;=?@^_~"
 _encoders: dict[tuple[str, int], _Encoder] = {}
 
 
+def _visible() -> dict[int, int]:
+    """The vocabulary's letter for each byte: bytes that print stand for
+    themselves, the others for what follows 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [x for x in range(256) if x not in shown]
+    return {x: 256 + i for i, x in enumerate(hidden)}
+
+
 class _Encoder:
     """Ids of whole texts as little-endian bytes.
 
     The vocabulary's pattern never spans white space and parts letters from
-    punctuation, so the ids of a text are those of its words, and each word is
-    encoded once while it stays in memory.  Words of letters alone are encoded
-    many at a time: each ends in one id of an end-of-word token."""
+    punctuation, so the ids of a text are those of its words, those of a word of
+    letters with punctuation behind it are theirs one after the other, and each is
+    found once while it stays in memory.  Lower-case words of Latin letters, which
+    normalisation leaves alone, go to the library's model directly."""
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -44,59 +54,62 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def forget(self) -> None:
-        """Drops what a task has learned: workers outlive their tasks."""
-        self.young, self.old = {}, {}
+        self.model = self.tokenizer.model
+        self.visible = _visible()
+        self.end = array("I", [end_id]).tobytes()
+        # Of lower-case words without the punctuation behind them, False if they are
+        # more than letters, and of those that are.
+        self.young: dict[bytes, bytes | bool] = {b"": b""}
+        self.old: dict[bytes, bytes | bool] = {}
+        self.odd: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
 
     def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters, joined by blanks for the library's sake."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
-        ids = np.array(found, dtype="<u4")
-        ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
-        if len(ends) != len(words) or not len(ends) or ends[-1] != 4 * len(ids):
-            return [self._one(w) for w in words]  # case mapping made marks of letters
-        body, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
-        return [body[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        bare = [w.rstrip(_TAIL) for w in fresh]
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, bare: bytes) -> bytes | bool:
+        low = (word := bare.decode()).lower()
         # One capital letter maps to a letter and a mark, which binds to what follows.
-        letters = [b for b in {*bare} if (x := b.decode()).isalpha() and x.lower().isalpha()]
-        ids: dict[bytes, bytes] = {b"": b""}
-        for at in range(0, len(letters), 1000):
-            part = letters[at : at + 1000]
-            ids.update(zip(part, self._letters([b.decode() for b in part]), strict=True))
-        for w, b in zip(fresh, bare, strict=True):
-            tail = w[len(b) :]
-            if tail not in ids:
-                ids[tail] = self._one(tail.decode())
-            self.young[w] = ids[b] + ids[tail] if b in ids else self._one(w.decode())
+        if not (word.isalpha() and low.isalpha()):
+            return False
+        if max(low) >= "\u0250":
+            return self._one(word)
+        shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.visible)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _coded(self, words: set[bytes]) -> dict[bytes, bytes]:
+        young, old, odd, tails, out = self.young, self.old, self.odd, self.tails, {}
+        for w in words:
+            bare = w.rstrip(_TAIL)
+            key = bare.lower()
+            ids = young.get(key)
+            if ids is None:
+                ids = old.get(key)
+                young[key] = ids = self._letters(key) if ids is None else ids
+            if ids is False:
+                if w not in odd:
+                    odd[w] = self._one(w.decode())
+                out[w] = odd[w]
+            elif len(bare) == len(w):
+                out[w] = ids
+            else:
+                tail = w[len(bare) :]
+                if tail not in tails:
+                    tails[tail] = self._one(tail.decode())
+                out[w] = ids + tails[tail]
+        if len(young) > CACHE_WORDS:
+            self.old, self.young = young, {b"": b""}
+        if len(odd) > CACHE_WORDS:
+            self.odd = {}
+        if len(tails) > CACHE_WORDS:
+            self.tails = {b"": b""}
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         gc.disable()  # millions of short-lived strings, no cycles
         split = [t.split() for t in texts]
-        fresh = []
-        for w in set().union(*split) - self.young.keys():
-            ids = self.old.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                self.young[w] = ids
-        self._learn(fresh)
-        get, end = self.young.__getitem__, self.end
+        get, end = self._coded(set().union(*split)).__getitem__, self.end
         out = [b"".join([*map(get, words), end]) for words in split]
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
         gc.enable()
         return out
 
@@ -140,22 +153,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, start = _encoder(tokenizer, end_id), 0
-        try:
-            for batch in batches:
-                at = 0
-                for part in _batched(batch.column(1)):
-                    coded = encode(part)
-                    n = np.array([len(c) // 4 for c in coded], dtype=np.int64)
-                    ends = np.concatenate(([0], np.cumsum(n)))
-                    ids = np.frombuffer(b"".join(coded), dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(part)), pa.array(n), pa.array(start + ends[:-1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
-                        names=["doc_id", "n_tokens", "local_start", "ids"],
-                    )
-                    start += int(ends[-1])
-                    at += len(part)
-        finally:
-            encode.forget()
+        for batch in batches:
+            at = 0
+            for part in _batched(batch.column(1)):
+                coded = encode(part)
+                n = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+                ends = np.concatenate(([0], np.cumsum(n)))
+                ids = np.frombuffer(b"".join(coded), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(part)), pa.array(n), pa.array(start + ends[:-1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
+                    names=["doc_id", "n_tokens", "local_start", "ids"],
+                )
+                start += int(ends[-1])
+                at += len(part)
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     if by_id:
