@@ -231,17 +231,6 @@ def point_in_polygon(spark, d):
     return spatial.inside(points, "node_id", rings)
 
 
-@query("""select p_partkey, p_name, rank, n::bigint place from (select *, row_number() over (order by rank, length(p_name), p_name, p_partkey) n from (select p_partkey, p_name, case when lower(p_name) = 'red' then 0 when starts_with(lower(p_name), 'red') then 1 else 2 end rank from part where contains(lower(p_name), 'red'))) where n <= 6""".replace("p_name, rank,", "p_name, rank::bigint rank,"))
-def place_search(spark, d):
-    name = F.lower("p_name")
-    rank = F.when(name == "red", 0).when(name.startswith("red"), 1).otherwise(2)
-    rows = spark.read.parquet(f"{d}/part.parquet").where(name.contains("red")).select("p_partkey", "p_name", rank.alias("rank"))
-    top = rows.orderBy("rank", F.length("p_name"), "p_name", "p_partkey").limit(6)  # a report of six
-    from pyspark.sql import Window
-
-    return _rounded(top.withColumn("place", F.row_number().over(Window.orderBy("rank", F.length("p_name"), "p_name", "p_partkey"))))
-
-
 @query(""", te as (select ix, iy, case when (ix + iy) % 11 <> 0 then ix * 3 + iy * 5 end v from (select unnest(range(0, 60)) ix), (select unnest(range(0, 60)) iy)),
 pt as (select c_custkey, c_custkey % 50 + (c_custkey % 4) * 0.25::double x, c_custkey // 50 % 50 + (c_custkey % 3) * 0.5::double y from customer)
 select c_custkey, round((1 - (x - floor(x))) * (1 - (y - floor(y))) * a.v + (1 - (x - floor(x))) * (y - floor(y)) * b.v + (x - floor(x)) * (1 - (y - floor(y))) * c.v + (x - floor(x)) * (y - floor(y)) * e.v, 6) elevation
@@ -337,20 +326,14 @@ def ascent(spark, d):
     return _rounded(elevation.climbs(elevation.smoothed(_samples(spark, d), "route_id"), "route_id"))
 
 
-@query("select route_id from (select route_id, row_number() over (partition by request_id, sig order by route_id) n from (select request_id, route_id, string_agg(physical_id || ':' || from_m::bigint || ':' || to_m::bigint, ',' order by seq) sig from segments group by 1, 2)) where n = 1")
-def routes_dedup(spark, d):
-    step = F.struct("seq", F.concat_ws(":", "physical_id", F.col("from_m").cast("bigint"), F.col("to_m").cast("bigint")).alias("s"))
-    signed = R.segments(spark, d).groupBy("request_id", "route_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]), ",").alias("sig"))
-    return signed.groupBy("request_id", F.sha2("sig", 256).alias("sig")).agg(F.min("route_id").alias("route_id")).select("route_id")
-
-
 @query("""select run_id, node, cost from (
   with recursive ar as (select u, v, length from edges union all select v, u, length from edges),
-  t(run_id, v, d) using key (run_id, v) as (select n_nationkey::bigint, n_nationkey::bigint * 4, 0.0::double from nation where n_nationkey < 5 union all
+  t(run_id, v, d) using key (run_id, v) as (select n_nationkey::bigint, n_nationkey::bigint * 4, 0.0::double from nation union all
     select t.run_id, ar.v, min(t.d + ar.length) from t join ar on ar.u = t.v left join recurring.t o on o.run_id = t.run_id and o.v = ar.v where t.d + ar.length <= 1200 and (o.d is null or t.d + ar.length < o.d) group by 1, 2)
   select run_id, v node, d cost from t)""")
 def shortest_tree(spark, d):
     e = R.edges(spark, d)
-    arcs = e.select("u", "v", "edge_id", F.col("length").alias("cost")).union(e.select("v", "u", "edge_id", "length"))
-    starts = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 5").select(F.col("n_nationkey").cast("bigint").alias("run_id"), (F.col("n_nationkey").cast("bigint") * 4).alias("node"))
-    return paths.shortest_trees(arcs, starts, 1200.0).select("run_id", "node", "cost")
+    arcs = e.select("u", "v", "edge_id", "length").union(e.select("v", "u", "edge_id", "length")).select("*", F.lit("distance").alias("profile"), F.col("length").alias("cost"), F.lit(False).alias("steps"))
+    trees = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("tree_id"), (F.col("n_nationkey").cast("bigint") * 4).alias("start"), F.lit("distance").alias("profile"), F.lit(1200.0).alias("max_length"))
+    labels, _ = paths.shortest_trees(arcs, trees)
+    return labels.select(F.col("tree_id").alias("run_id"), "node", "cost")
