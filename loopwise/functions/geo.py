@@ -13,7 +13,7 @@ def meters(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance; null if a coordinate is."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
-    return F.lit(DIAMETER) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(DIAMETER) * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def project(lat, lon, lat1, lon1, lat2, lon2) -> Column:

@@ -145,4 +145,4 @@ def nearby_roads(points: DataFrame, id: str, roads: DataFrame, most: float = 250
 
 def map_link(lat: Column, lon: Column, name: Column) -> Column:
     """Address of a point on an online map."""
-    return F.concat(F.lit("https://map.kakao.com/link/map/"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")), F.lit(","), F.format_number(lat, "0.0000000"), F.lit(","), F.format_number(lon, "0.0000000"))
+    return F.concat(F.lit("https://map.kakao.com/link/map/"), F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")), F.lit(","), F.format_string("%.7f", lat), F.lit(","), F.format_string("%.7f", lon))

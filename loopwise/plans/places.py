@@ -79,7 +79,7 @@ def element_tiles(spark, d):
     return rows.groupBy("ty", "tx").agg(F.count_if(F.col("type") == "way").alias("n_ways"), F.count_if(F.col("type") == "node").alias("n_nodes"))
 
 
-@query(S.SQL + """, bx as (select 35.995::double s, 129.295::double w0, 36.021::double n, 129.331::double e),
+@query(S.SQL + """, bx as (select 35.9953::double s, 129.2953::double w0, 36.0213::double n, 129.3314::double e),
 wb as (select w id, min(least(lat1, lat2)) a, min(least(lon1, lon2)) b, max(greatest(lat1, lat2)) c, max(greatest(lon1, lon2)) d, count(*) + 1 n_points from sg group by 1)
 select 'way' kind, wb.id, n_points from wb, bx where c >= s - 0.001::double and a <= n + 0.001::double and d >= w0 - 0.001::double and b <= e + 0.001::double
 union all select 'node', id, 0 from (select node_id id, lat, lon from nodes where node_id % 29 = 0 or node_id % 37 = 5 or node_id % 41 = 3 or node_id % 97 = 11 union all select poi_id + 1000000000, lat, lon from pois), bx
@@ -88,7 +88,7 @@ def region_elements(spark, d):
     """Elements of a pack that is published, checked and read back for one box."""
     path = store.new_path(spark, "pack")
     tiles.publish(S.elements(spark, d), path, "1")
-    rows = tiles.fetch(spark, path, (35.995, 129.295, 36.021, 129.331))
+    rows = tiles.fetch(spark, path, (35.9953, 129.2953, 36.0213, 129.3314))
     return rows.select(F.col("type").alias("kind"), "id", F.when(F.col("type") == "way", F.size("geometry")).otherwise(0).cast("long").alias("n_points"))
 
 
@@ -102,7 +102,7 @@ def terrain_pixels(spark, d):
     return tiles.terrain(rows, box, 16).select((F.col("ix") + F.col("iy") * 300).alias("c_custkey"), "ix", "iy", "value")
 
 
-_LINE = f", ln as (select *, lag(lat) over w lat0, lag(lon) over w lon0, row_number() over w n, count(*) over (partition by route_id) of from points window w as (partition by route_id order by i)), tl as (select route_id, sum(coalesce({_HAVERSINE.format('lat0', 'lat', 'lon0', 'lon')}, 0)) total from ln group by 1)"
+_LINE = f", ln as (select *, lag(lat) over w lat0, lag(lon) over w lon0, row_number() over w n, count(*) over (partition by route_id) of from points window w as (partition by route_id order by i)), tl as (select route_id, sum(case when lat0 is null then 0 else {_HAVERSINE.format('lat0', 'lat', 'lon0', 'lon')} end) total from ln group by 1)"
 
 
 @query(_LINE + " select route_id, round(total, 6) total from tl")
@@ -143,7 +143,7 @@ def usage_overlaps(spark, d):
     return rounded(evaluate.usage_overlap(R.segments(spark, d).withColumnRenamed("physical_id", "edge_id")))
 
 
-@query(" select route_id, sha256(string_agg(physical_id::varchar, '|' order by physical_id)) edge_set from (select distinct route_id, physical_id from segments) group by 1")
+@query(" select request_id, route_id, sha256(string_agg(physical_id::varchar, '|' order by physical_id)) edge_set from (select distinct request_id, route_id, physical_id from segments) group by 1, 2")
 def edge_sets(spark, d):
     return evaluate.used_edges(R.segments(spark, d).withColumnRenamed("physical_id", "edge_id"))
 

@@ -216,7 +216,7 @@ def test_families_equal_plain_average_linkage(spark, seed):
 
     chance = random.Random(seed)
     ids = list(range(24))
-    sim = {(a, b): round(1 - min(1, abs(chance.gauss(0, 0.25)) + (0.1 if a % 4 != b % 4 else 0)), 6) for a in ids for b in ids if a < b and chance.random() < 0.8}
+    sim = {(a, b): round(1.0 - min(1.0, abs(chance.gauss(0, 0.25)) + (0.1 if a % 4 != b % 4 else 0)), 6) for a in ids for b in ids if a < b and chance.random() < 0.8}
     sim |= {(0, 1): 0.8, (1, 2): 0.8, (0, 2): 0.4}
     pairs = spark.createDataFrame([(1, a, b, v) for (a, b), v in sim.items()], "request_id int, a long, b long, dice double")
     members, stats = families.clusters(spark.createDataFrame([(1, i) for i in ids], "request_id int, route_id long"), pairs)
