@@ -235,8 +235,10 @@ def identified(docs: DataFrame, model: Model, into: str = "__found") -> DataFram
             if not k:
                 starts, ends, first = starts[:0], ends[:0], first * 0
             # Scripts narrow the languages to those that any word may be in.
-            use = np.flatnonzero(model.allowed[np.unique(_SCRIPT[part.raw[starts]])].any(axis=0)) if len(starts) else np.zeros(1, np.int64)
-            labels = use[viterbi(_word_scores(part.raw, starts, ends, model, held["rows"], use), first)]
+            labels = np.zeros(0, np.int64)
+            if len(starts):
+                use = np.flatnonzero(model.allowed[np.unique(_SCRIPT[part.raw[starts]])].any(axis=0))
+                labels = use[viterbi(_word_scores(part.raw, starts, ends, model, held["rows"], use), first)]
             new = np.ones(len(labels), bool)
             new[1:] = labels[1:] != labels[:-1]
             new[first[:-1][first[:-1] < len(labels)]] = True

@@ -73,7 +73,7 @@ def test_mixture_takes_near_the_target(spark):
     rows = [(i, "w " * (1 + i % 50), f"s{i % 4}" if i % 5 else None) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     sized = mixing.sized_documents(df)
-    got = mixing.copies(sized, mixing.plan(sized)).select("source", "size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+    got = mixing.copies(sized, mixing.plan(sized, shards=5)).select("source", "size", "target", (F.col("size") * F.size("copies")).alias("taken"))
     per = got.groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("n")).collect()
     assert all(abs(r.n - r.t) <= max(50, 0.001 * r.t) for r in per)
     assert got.where("taken > 3 * size").isEmpty()
@@ -124,10 +124,10 @@ def test_language_spans(spark, docs, empty):
     rows = [(i, "the house and the garden are old", "en") for i in range(20)] + [(20 + i, "das haus und der garten sind schön", "de") for i in range(20)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_out=None)
     text = "the house and the garden are old " * 4 + "das haus und der garten sind schön " * 3
-    r = langid.predicted(spark.createDataFrame([(1, text), (2, None), (3, "12 ?!")], "doc_id long, text string"), model).orderBy("doc_id").collect()
-    assert [x["__lang"] for x in r] == ["en", "und", "und"] and [(s.start, s.end, s.lang) for s in r[0]["__spans"]] == [(0, 28, "en"), (28, 49, "de")]
-    assert langid.predicted(docs, model).count() == len(odd_rows()) and langid.predicted(empty, model).count() == 0
-    assert {x["__lang"] for x in langid.predicted(docs, langid.train(empty)).collect()} == {"und"}
+    r = langid.identified(spark.createDataFrame([(1, text), (2, None), (3, "12 ?!")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [x["__found"].lang for x in r] == ["en", "und", "und"] and [(s.start, s.end, s.lang) for s in r[0]["__found"].spans] == [(0, 28, "en"), (28, 49, "de")]
+    assert langid.identified(docs, model).count() == len(odd_rows()) and langid.identified(empty, model).count() == 0
+    assert {x["__found"].lang for x in langid.identified(docs, langid.train(empty)).collect()} == {"und"}
 
 
 def test_viterbi_equals_brute_force():
