@@ -34,7 +34,7 @@ _EVIDENCE = _WALK + f""", ev as (select request_id, route_id, sum(length) length
     {_m("lit = 'yes'", 'lit_yes_m')}, {_m("lit = 'no'", 'lit_no_m')}, {_m("lit in ('yes', 'no')", 'lit_known_m')}, {_m('width is not null', 'width_known_m')}, {_m('width >= 3', 'wide_m')},
     {_m(f'"on" and {_PAVED}', 'paved_walk_m')}, {_m("\"on\" and lit = 'yes'", 'lit_walk_m')}, {_m('"on" and width >= 3', 'wide_walk_m')}, {_m('steps', 'steps_m')}
   from seg group by 1, 2),
-bo as (select ev.*, longest_walk_m, 20 * walk_m / length w, 30 * paved_walk_m / length p, 15 * lit_walk_m / length l, 15 * wide_walk_m / length d, case when longest_walk_m >= 500 then 10 * least(1.0, longest_walk_m / 2000) else 0 end c from ev join lw using (route_id)),
+bo as (select ev.*, longest_walk_m, 20 * (walk_m / length) w, 30 * (paved_walk_m / length) p, 15 * (lit_walk_m / length) l, 15 * (wide_walk_m / length) d, case when longest_walk_m >= 500 then 10 * least(1.0, longest_walk_m / 2000) else 0 end c from ev join lw using (route_id)),
 sc as (select *, bonus - 30 * error score from (select * exclude (w, p, l, d, c), w + p + l + d + c bonus, abs(length - 2000) / 2000 error from bo))"""
 _CROSSINGS = """, cr as (select route_id, count(*) n_crossings, count(*) filter (tagged or nearby) n_signals, count(*) filter (not tagged and nearby) n_inferred, count(*) filter (not tagged and not nearby and unknown) n_unknown
   from (select route_id, run, bool_or(signal = 'tagged') tagged, bool_or(signal = 'nearby') nearby, bool_or(signal = 'unknown') unknown
