@@ -55,9 +55,9 @@ prs as (select a.request_id, a.route_id a, b.route_id b, sum((least(a.hi, b.hi)
 sim as (select prs.*, x.total total_a, y.total total_b, least(1.0, 2 * shared_m / (x.total + y.total)) dice from prs join tot x on x.route_id = a join tot y on y.route_id = b)"""
 
 
-@query(_EVIDENCE + " select * exclude (error, score) replace (round(bonus, 6) as bonus) from sc")
+@query(_EVIDENCE + " select * exclude (error, score) replace (round(bonus, 9) as bonus) from sc")
 def segment_evidence(spark, d):
-    return _rounded(sequence.route_evidence(R.segments(spark, d)))
+    return _rounded(sequence.route_evidence(R.segments(spark, d)), 9)
 
 
 @query(_CROSSINGS + " select * from cr")
@@ -100,9 +100,9 @@ def _finals(spark, d, segments=None):
     return ranking.subset_penalty(ranking.scored(sequence.route_evidence(segments), TARGET), pairs, TARGET)
 
 
-@query(_EVIDENCE + _SWEEP + _PENALTY + " select request_id, route_id, coalesce(peer, -1) peer, round(penalty, 6) penalty, round(score - penalty, 6) final_score from fi")
+@query(_EVIDENCE + _SWEEP + _PENALTY + " select request_id, route_id, coalesce(peer, -1) peer, round(penalty, 9) penalty, round(score - penalty, 9) final_score from fi")
 def subset_penalty(spark, d):
-    return _rounded(_finals(spark, d).select("request_id", "route_id", F.coalesce("peer", F.lit(-1)).alias("peer"), "penalty", "final_score"))
+    return _rounded(_finals(spark, d).select("request_id", "route_id", F.coalesce("peer", F.lit(-1)).alias("peer"), "penalty", "final_score"), 9)
 
 
 _SAMPLES = """, le as (select route_id, sum(length) length from segments group by 1),
@@ -131,9 +131,9 @@ def _ranked(spark, d):
 @query(_ALL + """, pi as (select request_id, route_id, rs, 0 rank, 'best' reason, row_number() over (partition by request_id order by rs desc, error, route_id) n from al
   union all select request_id, route_id, rs, 1, 'elevation', row_number() over (partition by request_id order by range_m, rs desc, error, route_id) from al where elevation_known
   union all select request_id, route_id, rs, 2, 'signals', row_number() over (partition by request_id order by n_signals, rs desc, error, route_id) from al where n_unknown = 0)
-select request_id, route_id, round(max(rs), 6) score, string_agg(reason, '+' order by rank) reasons from pi where n = 1 group by 1, 2""")
+select request_id, route_id, round(max(rs), 9) score, string_agg(reason, '+' order by rank) reasons from pi where n = 1 group by 1, 2""")
 def recommend(spark, d):
-    return _rounded(ranking.recommend(_ranked(spark, d)))
+    return _rounded(ranking.recommend(_ranked(spark, d)), 9)
 
 
 @query(_ALL + """ select request_id, reason from (select request_id, unnest(['elevation', 'signals']) reason, unnest([count(*) filter (elevation_known), count(*) filter (n_unknown = 0)]) n from al group by 1) where n = 0""")
@@ -141,10 +141,10 @@ def pending_reasons(spark, d):
     return ranking.pending(_ranked(spark, d))
 
 
-@query(_EVIDENCE + """ select request_id, route_id, benefit, round(bonus, 6) bonus, row_number() over (partition by route_id order by bonus desc, i) place
+@query(_EVIDENCE + """ select request_id, route_id, benefit, round(bonus, 9) bonus, row_number() over (partition by route_id order by bonus desc, i) place
 from (select request_id, route_id, unnest(['walk', 'paved_walk', 'lit_walk', 'wide_walk', 'continuous']) benefit, unnest([w, p, l, d, c]) bonus, unnest(range(5)) i from bo) where bonus > 0""")
 def route_benefits(spark, d):
-    return _rounded(sequence.benefits(sequence.route_evidence(R.segments(spark, d))))
+    return _rounded(sequence.benefits(sequence.route_evidence(R.segments(spark, d))), 9)
 
 
 @query(_EVIDENCE + """ select route_id, what, floor((1 - known / length) * 100 + 0.5)::bigint percent from (select route_id, length, unnest(['surface', 'lit', 'width']) what, unnest([surface_known_m, lit_known_m, width_known_m]) known from sc) where known < length - 0.1""")
