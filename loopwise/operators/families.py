@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwise import store
-from loopwise.operators import sequence
+from loopwise.operators import ranking, sequence
 
 # Least mean and least single similarity within a family.
 MEAN, FLOOR, SLACK = 0.65, 0.50, 1e-9
@@ -73,13 +73,15 @@ def clusters(routes: DataFrame, pairs: DataFrame, mean: float = MEAN, floor: flo
     return member, stats
 
 
-def completions_decided(members: DataFrame, routes: DataFrame, pairs: DataFrame, burden: DataFrame, target: float) -> DataFrame:
+def completions_decided(members: DataFrame, routes: DataFrame, pairs: DataFrame, burden: DataFrame, target) -> DataFrame:
     """(cluster, winner, loser, shorter, full, added) for members of one family of
-    which the shorter misses the target by little and the full one, within a metre
-    of it, contains it: more recorded burden lets the shorter win."""
-    missing = target - F.col("length")
-    inside = members.join(routes.select("route_id", "length"), "route_id")
-    short = inside.where(missing.between(10 - 0.01, min(300.0, 0.05 * target) + 0.01)).select("request_id", "cluster", F.col("route_id").alias("shorter"), F.col("length").alias("short_m"))
+    which the shorter misses the target (metres or a column) by little and the full
+    one, within a metre of it, contains it: more recorded burden lets the shorter
+    win."""
+    wanted = routes.select("route_id", "length", F.lit(target).alias("target_m"))
+    inside = members.join(wanted, "route_id")
+    missing = F.col("target_m") - F.col("length")
+    short = ranking.small_deficit(inside, F.col("target_m")).select("request_id", "cluster", F.col("route_id").alias("shorter"), F.col("length").alias("short_m"))
     full = inside.where(F.abs(missing) <= 1).select("request_id", "cluster", F.col("route_id").alias("full"), F.col("length").alias("full_m"))
     each = pairs.select(F.col("a").alias("shorter"), F.col("b").alias("full"), "shared_m", F.least("total_a", "total_b").alias("least"))
     each = each.union(pairs.select("b", "a", "shared_m", F.least("total_a", "total_b")))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loopwise.operators import evaluate, explore, network
+from loopwise.operators import completions, evaluate, explore, network, results, sequence
 from loopwise.plans.base import query, rounded
+from loopwise.sources import routes as R
 from loopwise.sources import streets as S
 
 
@@ -35,3 +36,42 @@ def explored_routes(spark, d):
     measured = evaluate.measured(x.segments)
     rows = x.routes.select("route_id", "candidate", "error", "signature", "n_searches").join(measured, "route_id").join(evaluate.supply(x.routes, found), "route_id").join(evaluate.shapes(x.points, measured), "route_id")
     return rounded(rows)
+
+
+@query()
+def recommended_courses(spark, d):
+    """The main query: courses found for each region's request, with the reasons to
+    recommend them and their families."""
+    x = explore.explored(network.build(S.elements(spark, d)), _requests(spark, d), ["distance", "balanced"])
+    r = results.results(x)
+    cards = r.cards.select("route_id", "reasons")
+    place = r.families.select("route_id", "cluster", "place")
+    rows = r.routes.select("request_id", "route_id", "candidate", "length", "final_score", "shape", "n_signals", "n_unknown").join(place, "route_id").join(cards, "route_id", "left")
+    return rounded(rows)
+
+
+@query()
+def search_batches(spark, d):
+    """How many routes each search of each request tried, found and kept."""
+    return explore.explored(network.build(S.elements(spark, d)), _requests(spark, d), ["distance", "flow"]).batches
+
+
+@query()
+def completed_routes(spark, d):
+    """Excursions that make short routes whole."""
+    net = network.build(S.elements(spark, d))
+    arcs, _, s = explore.candidates(net, _requests(spark, d), ["balanced"])
+    key = F.xxhash64("request_id", "strategy", "variant", "place", "kind")
+    arcs = arcs.withColumn("route_id", key)
+    routes = arcs.groupBy("route_id", "request_id").agg(F.sum("length").alias("length")).withColumn("distance", F.lit(1000.0))
+    return rounded(completions.completed(arcs, routes, s, net)[0])
+
+
+@query(""", rw as (select s1.route_id, min(request_id) request_id, max(case when of >= 3 and of % 2 = 1 and far < 0.5 then 'outback' else 'other' end) shape from segments s1 join (select a.route_id, max(a.of) of, max(""" + S._METERS.format("a.lat", "b.lat", "a.lon", "b.lon") + """) far
+  from (select *, row_number() over w n, count(*) over (partition by route_id) of from points window w as (partition by route_id order by i)) a join (select *, row_number() over w n from points window w as (partition by route_id order by i)) b on b.route_id = a.route_id and b.n = a.of + 1 - a.n group by 1) q on q.route_id = s1.route_id group by 1),
+ru as (select route_id, sum(total - longest) / sum(total) r from (select route_id, physical_id, sum(length) total, max(length) longest from segments group by 1, 2) group by 1)
+select request_id, count(*) filter (shape <> 'outback' and r <= 0.08) n_loop, count(*) filter (shape <> 'outback' and r > 0.08) n_partial, count(*) filter (shape = 'outback') n_outback from rw join ru using (route_id) group by 1""")
+def shape_counts(spark, d):
+    rows = R.segments(spark, d)
+    usage = sequence.edge_usage(rows).select("route_id", (F.col("repeated_m") / F.col("length")).alias("repeat_ratio"))
+    return results.shape_counts(evaluate.shapes(R.points(spark, d), usage).join(rows.select("request_id", "route_id").distinct(), "route_id"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loopwise import store
-from loopwise.operators import elevation, evaluate, explore, families, guide, network, paths, places, ranking, sequence
+from loopwise.operators import completions, elevation, evaluate, explore, families, guide, network, paths, places, ranking, sequence
 from loopwise.sources import routes, streets, tiles
 
 SF = "/root/testdata/sf0.001"
@@ -487,3 +487,33 @@ def test_added_burden(spark):
     burden = spark.createDataFrame([(1, 5.0, 0.0, 10.0, 0.0, 1), (2, 5.0, 0.05, 10.2, 0.0, 2)], keys)
     pairs = spark.createDataFrame([(1, 2), (2, 1)], "shorter long, longer long")
     assert {(r.shorter, tuple(r.added)) for r in sequence.added_burden(pairs, burden).collect()} == {(1, ("crossing", "unpaved")), (2, ())}
+
+
+def test_short_routes_are_completed(spark):
+    """A loop of 976 m with three dead ends: paved, unlit, and across a crossing."""
+    y, x = 36.0, 129.3
+    p = lambda r, c: (y + r * 0.001, x + c * 0.001)
+    good = {"surface": "asphalt", "lit": "yes"}
+    rows = [
+        way(1, [1, 2, 3, 4, 1], [p(0, 0), p(0, 2.71), p(2.19, 2.71), p(2.19, 0), p(0, 0)]),
+        way(2, [2, 5], [p(0, 2.71), p(0, 3.4)], **good),
+        way(3, [3, 6], [p(2.19, 2.71), p(2.19, 3.4)], lit="no"),
+        way(4, [4, 7], [p(2.19, 0), p(2.19, -0.5)], footway="crossing"),
+        way(5, [1, 8], [p(0, 0), p(-0.5, 0)]),
+    ]
+    net = network.build(spark.createDataFrame(rows, streets.ELEMENTS))
+    requests = spark.createDataFrame([(1, *p(0, 0), 1000.0, False)], "request_id long, lat double, lon double, distance double, avoid_steps boolean")
+    s = explore.streets(net, requests)
+    arcs = s.edges.where("way_id = 1").select(F.lit(7).cast("long").alias("route_id"), F.lit(1).cast("long").alias("request_id"), F.col("edge_id").alias("seq"), "edge_id", F.col("u").alias("from_node"), F.col("v").alias("to_node"), "length", "lat1", "lon1", "lat2", "lon2")
+    length = arcs.agg(F.sum("length")).first()[0]
+    routes_ = spark.createDataFrame([(7, 1, length, 1000.0), (8, 1, 1000.0, 1000.0)], "route_id long, request_id long, length double, distance double")
+    proposals, whole = completions.completed(arcs, routes_, s, net)
+    got = proposals.orderBy("place").collect()
+    assert 950 <= length <= 990 and [(r.route_id, r.place, r.anchors) for r in got] == [(7, 1, 2), (7, 2, 2)]
+    assert got[0].at_m == pytest.approx(meters(p(0, 0), p(0, 2.71))) and got[1].at_m == 0 and got[0].added_m == pytest.approx(1000 - length)
+    for place in (1, 2):
+        part = whole.where(f"place = {place}").orderBy("seq").collect()
+        assert sum(r.length for r in part) == pytest.approx(1000) and all(meters((a.lat2, a.lon2), (b.lat1, b.lon1)) < 0.01 for a, b in zip(part, part[1:], strict=False))
+        assert (part[0].lat1, part[0].lon1) == (part[-1].lat2, part[-1].lon2) and len(part) == 6
+    old = spark.createDataFrame([("r", 1.0, "m", 1), ("r", 2.0, "m", 1)], "parent string, at_m double, method string, v int")
+    assert sorted((r.at_m, r.v) for r in completions.merged_completions(old, old.where("at_m = 1").withColumn("v", F.lit(2))).collect()) == [(1.0, 2), (2.0, 1)]
