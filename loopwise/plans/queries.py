@@ -90,12 +90,13 @@ def _scored(spark, d):
 _PENALTY = """, ea as (select a route_id, b peer, shared_m, total_b peer_total from sim union all select b, a, shared_m, total_a from sim),
 pk as (select ea.route_id, peer, p.length peer_length, row_number() over (partition by ea.route_id order by greatest(0, p.length - 2000), abs(p.length - 2000), peer) n
   from ea join sc r on r.route_id = ea.route_id join sc p on p.route_id = peer where r.length > p.length + 0.5 and shared_m >= 0.999 * peer_total),
-fi as (select sc.*, peer, coalesce(150 * greatest(0, length - greatest(2000, peer_length)) / 2000, 0) penalty from sc left join pk on pk.route_id = sc.route_id and n = 1)"""
+fi as (select sc.*, peer, case when peer is null then 0.0 else 150 * greatest(0, length - greatest(2000, peer_length)) / 2000 end penalty from sc left join pk on pk.route_id = sc.route_id and n = 1)"""
 
 
 def _finals(spark, d, segments=None):
     """Routes with their scores less the penalty for metres beyond a subset."""
-    segments = R.segments(spark, d) if segments is None else segments
+    if segments is None:
+        segments, _ = store.written(R.segments(spark, d), "segments")
     pairs = sequence.similar_pairs(sequence.coverage_sweep(segments))
     return ranking.subset_penalty(ranking.scored(sequence.route_evidence(segments), TARGET), pairs, TARGET)
 
