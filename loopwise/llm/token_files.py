@@ -68,14 +68,18 @@ class _Encoder:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, bare: bytes) -> bytes | bool:
-        low = (word := bare.decode()).lower()
-        # One capital letter maps to a letter and a mark, which binds to what follows.
-        if not (word.isalpha() and low.isalpha()):
+        word = bare.decode()
+        if not word.isalpha():
             return False
-        if max(low) >= "\u0250":
-            return self._one(word)
-        shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.visible)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if not word.isascii():
+            low = word.lower()
+            # One capital letter maps to a letter and a mark, which binds to what follows.
+            if not low.isalpha():
+                return False
+            if max(low) >= "\u0250":
+                return self._one(word)
+            word = low.encode().decode("latin-1").translate(self.visible)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _coded(self, words: set[bytes]) -> dict[bytes, bytes]:
         young, old, odd, tails, out = self.young, self.old, self.odd, self.tails, {}
@@ -211,10 +215,12 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lists = batch.column(3)
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip((4 * offsets[:-1]).tolist(), (4 * offsets[1:]).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
