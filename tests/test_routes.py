@@ -153,3 +153,21 @@ def test_sanitising_twice_changes_nothing(spark):
     assert once.columns == ["id", "tags"] and elements.unclean(once).isEmpty()
     assert sorted((r.id, r.tags) for r in once.collect()) == sorted((r.id, r.tags) for r in elements.sanitized(once).collect())
     assert {r.id: r.tags for r in once.collect()} == {1: {"crossing": "yes"}, 2: None, 3: {}, 4: {}}
+
+
+def test_requests_and_modes(spark):
+    df = spark.createDataFrame([(1000.0, "A"), (950.0, "B"), (12000.0, None), (12500.0, "x"), (1250.0, "a"), (None, "A")], "m double, mode string")
+    got = df.select(evidence.asked_distance(F.col("m")).alias("ok"), evidence.display_mode(F.col("mode")).alias("mode")).collect()
+    assert [r.ok for r in got] == [True, False, True, False, False, False] and [r["mode"] for r in got] == ["A", "B", "B", "B", "B", "A"]
+
+
+def test_distance_of_an_unknown_place_is_unknown(spark):
+    r = spark.range(1).select(geo.meters(F.lit(None).cast("double"), F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("a"), geo.meters(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("b")).first()
+    assert r.a is None and r.b == pytest.approx(12742000 * math.pi / 2)
+
+
+def test_no_penalty_without_a_contained_route(spark):
+    routes_ = spark.createDataFrame([(1, 3000.0, 10.0), (2, 2500.0, 10.0), (3, 2600.0, 10.0)], "route_id long, length double, score double")
+    pairs = spark.createDataFrame([(2, 3, 2500.0, 2500.0, 2600.0)], "a long, b long, shared_m double, total_a double, total_b double")
+    got = {r.route_id: r.penalty for r in ranking.subset_penalty(routes_, pairs, 2000.0).collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: pytest.approx(150 * 100 / 2000)}
