@@ -162,20 +162,45 @@ def guide_steps(spark, d):
     return rounded(guide.guides(R.points(spark, d)))
 
 
+_BOX = (35.9, 129.2, 36.1, 129.4)
+
+
 def _profiles(spark, d):
-    box = (35.9, 129.2, 36.1, 129.4)
-    x0, y0, width, height = tiles.terrain_window(box, 12)
+    x0, y0, width, height = tiles.terrain_window(_BOX, 12)
     grid = spark.range(width * height).select((F.col("id") % width).alias("ix"), F.floor(F.col("id") / width).alias("iy"))
     heights = grid.withColumn("value", F.when((F.col("ix") + F.col("iy")) % 11 != 0, (F.col("ix") * 3.0 + F.col("iy") * 5.0) % 40))
     return elevation.profile(R.points(spark, d), heights, 12, x0, y0)
 
 
-@query()
+_X0, _Y0, _, _ = tiles.terrain_window(_BOX, 12)
+_at = lambda dx, dy: f"case when (ix + {dx} + iy + {dy}) % 11 <> 0 then ((ix + {dx}) * 3 + (iy + {dy}) * 5) % 40 end"
+_PROFILE = _LINE + f""", sp as (select route_id, i, lat0, lon0, lat, lon, coalesce(bridge, false) or coalesce(tunnel, false) shut, m, sum(m) over (partition by route_id order by i rows unbounded preceding) fin, row_number() over (partition by route_id order by i) no
+  from (select *, {_HAVERSINE.format('lat0', 'lat', 'lon0', 'lon')} m from ln where lat0 is not null)),
+tt as (select route_id, max(fin) total from sp group by 1 having max(fin) > 0),
+q0 as (select route_id, total, unnest(range(0, greatest(floor((total - 1.000001) / 50)::bigint, 0) + 1)) i from tt),
+q1 as (select route_id, i, i * 50.0::double "at" from q0 where not (i > 0 and i = greatest(floor((total - 1.000001) / 50)::bigint, 0) and total - i * 50 < 25)),
+q2 as (select * from q1 union all select route_id, (select max(i) from q1 where q1.route_id = tt.route_id) + 1, total from tt),
+oo as (select * from (select q2.route_id, q2.i n, "at", shut, lat0, lon0, lat, lon, case when m > 0 then ("at" - (fin - m)) / m else 0 end t, row_number() over (partition by q2.route_id, q2.i order by sp.i) k from q2 join sp on sp.route_id = q2.route_id and "at" <= fin and ("at" > fin - m or no = 1)) where k = 1),
+px as (select *, (lon0 + t * (lon - lon0) + 180) / 360 * 1048576 - 0.5 - {_X0} x, (1 - asinh(tan(radians(lat0 + t * (lat - lat0)))) / pi()) / 2 * 1048576 - 0.5 - {_Y0} y from oo),
+hv as (select *, floor(x)::bigint ix, floor(y)::bigint iy, x - floor(x) fx, y - floor(y) fy from px),
+gp as (select distinct route_id, unnest([i - 1, i]) i from (select q2.*, lag("at") over (partition by route_id order by i) from_m from q2) e where exists (select 1 from sp where sp.route_id = e.route_id and shut and fin > from_m and fin - m < "at")),
+kn as (select hv.route_id, n i, "at", case when not shut and gp.i is null then (1 - fx) * (1 - fy) * ({_at(0, 0)}) + (1 - fx) * fy * ({_at(0, 1)}) + fx * (1 - fy) * ({_at(1, 0)}) + fx * fy * ({_at(1, 1)}) end e from hv left join gp on gp.route_id = hv.route_id and gp.i = n),
+pr as (select route_id, i, "at", floor(coalesce((lag(e) over w + e + lead(e) over w) / 3, e) * 10 + 0.5) / 10 elevation from kn window w as (partition by route_id order by i))"""
+
+
+@query(_PROFILE + """ select route_id, i, round("at", 6) "at", elevation from pr""")
 def elevation_profiles(spark, d):
     return rounded(_profiles(spark, d))
 
 
-@query()
+@query(_PROFILE + """, cl(route_id, i, spot, up, down) as (
+  select route_id, -1::bigint, null::double, 0.0::double, 0.0::double from tt
+  union all
+  select route_id, i, case when elevation is null then null when spot is null or abs(elevation - spot) >= 3 then elevation else spot end, up + case when elevation - spot >= 3 then elevation - spot else 0 end, down + case when spot - elevation >= 3 then spot - elevation else 0 end
+  from (select pr.*, spot, up, down from pr join cl on cl.route_id = pr.route_id and pr.i = cl.i + 1)),
+su as (select route_id, max(up) up, max(down) down from cl group by 1), ag as (select route_id, count(*) n, count(elevation) k, min(elevation) lo, max(elevation) hi from pr group by 1)
+select route_id, case when k = 0 then 'unknown' when k = n then 'estimated' else 'partial' end state, case when k = n then floor(up + 0.5)::bigint end ascent, case when k = n then floor(down + 0.5)::bigint end descent,
+  case when k > 0 then floor(up + 0.5)::bigint end partial_ascent, case when k > 0 then floor(down + 0.5)::bigint end partial_descent, floor(hi - lo + 0.5)::bigint range_m, floor(lo + 0.5)::bigint low_m, floor(hi + 0.5)::bigint high_m from ag join su using (route_id)""")
 def elevation_summaries(spark, d):
     return elevation.summaries(_profiles(spark, d), "route_id")
 
