@@ -205,6 +205,15 @@ def elevation_summaries(spark, d):
     return elevation.summaries(_profiles(spark, d), "route_id")
 
 
-@query()
+_rgb = lambda pale, dark: "'rgb(' || " + " || ',' || ".join(f"floor({a} + ({b - a}) * s + 0.5)::bigint" for a, b in zip(pale, dark, strict=True)) + " || ')'"
+
+
+@query(_PROFILE + f""", ed as (select route_id, fin - m st, fin, shut, least(k0, k1) ka, greatest(k0, k1) kb, k0 < k1 fwd from (select *, floor(lat0 * 1000000::double + 0.5)::bigint || ',' || floor(lon0 * 1000000::double + 0.5)::bigint k0, floor(lat * 1000000::double + 0.5)::bigint || ',' || floor(lon * 1000000::double + 0.5)::bigint k1 from sp)),
+eb as (select ed.*, two from ed join (select route_id, ka, kb, count(distinct fwd) > 1 two from ed group by 1, 2, 3) using (route_id, ka, kb)),
+ea as (select route_id, greatest(0.0, from_m) a, least(total, "at") b, 100 * ((elevation - e0) / ("at" - from_m)) g, (e0 + elevation) / 2 mid from (select *, lag("at") over w from_m, lag(elevation) over w e0 from pr window w as (partition by route_id order by i)) join tt using (route_id) where from_m is not null),
+mt as (select ea.route_id, a, b, any_value(g) g, any_value(mid) mid, bool_or(shut) shut, bool_or(two) two from ea join eb on eb.route_id = ea.route_id and fin > a and st < b where b > a group by 1, 2, 3),
+co as (select mt.route_id, a, count(*) n from mt join (select route_id, fin ds from sp union all select route_id, 0 from tt) c on c.route_id = mt.route_id and ds > a + 0.001::double and ds < b - 0.001::double group by 1, 2),
+fi as (select mt.*, coalesce(n, 0) + 2 corners, case when not shut then g end grade, case when not shut then mid end elevation, least(1.0, (abs(g) - 3) / 9) s from mt left join co using (route_id, a))
+select route_id, round(a, 6) "at", round(b, 6) end_m, round(grade, 6) grade, round(elevation, 6) elevation, two "offset", corners, case when grade is null or elevation is null then '#8d929b' when abs(grade) <= 3 then '#899297' when grade > 0 then {_rgb((228, 165, 165), (174, 44, 54))} else {_rgb((153, 187, 220), (35, 94, 163))} end color, grade is null or elevation is null "unknown" from fi""")
 def colored_stretches(spark, d):
     return rounded(guide.colored_segments(R.points(spark, d), _profiles(spark, d)))
