@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loopwise.llm import centroids, chat, decontam, langid, media, merkle, mixing, neardup, pii, quality, token_files, toxicity
+from loopwise.llm import centroids, chat, decontam, langid, lattice_lm, media, merkle, mixing, neardup, pii, quality, token_files, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_language": langid.op10,
     "op11_merkle_manifest": merkle.op11,
     "op12_delta_lloyd": centroids.op12,
+    "op13_lattice_likelihood": lattice_lm.op13,
 }
 ORACLES = {"op7_chat_format": chat.ORACLE, "op8_decontamination": decontam.ORACLE, "op9_near_duplicates": neardup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_delta_lloyd": centroids.ORACLE}
