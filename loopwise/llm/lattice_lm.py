@@ -73,15 +73,15 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     return pieces, w / w.sum()
 
 
-def _packed(data: np.ndarray, n: int) -> np.ndarray:
-    """A number for each run of n bytes, their own bits up to eight bytes."""
-    m = len(data) - n + 1
-    out = np.zeros(m, np.uint64)
-    for j in range(min(n, 8)):
-        out |= data[j : j + m].astype(np.uint64) << np.uint64(8 * j)
-    for j in range(8, n):
-        out = out * _MANY ^ data[j : j + m]
-    return out
+def _packed(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A number for each run of 1, 2, ... `most` bytes, up to eight bytes their own
+    bits."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    for n in range(1, min(most, len(data)) + 1):
+        last = data[n - 1 :].astype(np.uint64)
+        out = out[: len(last)]
+        out = out | last << np.uint64(8 * n - 8) if n <= 8 else out * _MANY ^ last
+        yield out
 
 
 class Lattices:
@@ -93,7 +93,8 @@ class Lattices:
         for n in sorted(set(lengths.tolist())):
             ids = np.flatnonzero(lengths == n)
             data = np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8).reshape(-1, n)
-            keys = _packed(data.reshape(-1), n)[::n] if len(ids) else np.zeros(0, np.uint64)
+            *_, keys = _packed(data.reshape(-1), n)
+            keys = keys[::n]
             order = np.argsort(keys)
             maybe = np.zeros(1 << 20, bool)
             maybe[(keys * _SPREAD) >> np.uint64(44)] = True
@@ -104,10 +105,10 @@ class Lattices:
         begins at each place, by place and word; -1 is none."""
         rows, width = words.shape
         flat, found = words.reshape(-1), {}
-        for n, (keys, ids, data, maybe) in self._by_length.items():
-            if n > width:
-                break
-            packed = _packed(flat, n)
+        for n, packed in enumerate(_packed(flat, min(width, max(self._by_length))), 1):
+            if n not in self._by_length:
+                continue
+            keys, ids, data, maybe = self._by_length[n]
             at = np.flatnonzero(maybe[(packed * _SPREAD) >> np.uint64(44)])
             at = at[at % width <= width - n]
             place = np.minimum(np.searchsorted(keys, packed[at]), len(keys) - 1)
@@ -227,7 +228,7 @@ def languages(docs: DataFrame) -> tuple[Column, list[int]]:
 def counted(docs: DataFrame, k: Column, n: int) -> DataFrame:
     """word, everywhere (its count in all texts) and c0, c1, ... (in the training
     texts of each language)."""
-    rows = docs.select(k.alias("k"), F.explode(tokens(F.col("text"))).alias("word"))
+    rows = docs.select(k.alias("k"), tokens(F.col("text")).alias("words")).select("k", F.explode("words").alias("word"))
     return rows.groupBy("word").agg(F.count("*").alias("everywhere"), *[F.count_if(F.col("k") == i).alias(f"c{i}") for i in range(n)])
 
 
@@ -326,7 +327,8 @@ def likelihood(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
     sums = [F.count("*").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]]
     often = _frequent(scored, HEAVY)
     heavy = F.broadcast(scored.where(often).drop("everywhere"))  # HEAVY words at most, and the end
-    said = docs.select(*keys(F.col("text")), F.explode(tokens(F.col("text"))).alias("word"))
+    # Hashed once a text, before its words part.
+    said = docs.select(*keys(F.col("text")), tokens(F.col("text")).alias("words")).select("h1", "h2", F.explode("words").alias("word"))
     many = said.join(heavy, "word").groupBy("h1", "h2").agg(*sums, F.count_if(F.col("word") == "").alias("copies"))
     few = said.join(heavy.select("word"), "word", "left_anti").join(scored.where(~often).drop("everywhere"), "word")
     few = few.groupBy("h1", "h2").agg(*sums, F.lit(0).cast("long").alias("copies"))
