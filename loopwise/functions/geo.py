@@ -48,3 +48,17 @@ def half_up(x: Column) -> Column:
 def cells(low: Column, high: Column, step: float) -> Column:
     """Array of the grid cells from low to high, both included."""
     return F.sequence(F.floor(low / step), F.floor(high / step))
+
+
+def width_scale(band, height: float) -> Column:
+    """Metres of a degree of longitude at the poleward edge of a latitude band of
+    `height` degrees, where it is shortest; at least a thousandth of that at 0."""
+    edge = F.greatest(F.abs(band * height), F.abs((band + 1) * height))
+    return F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(0.001)) * Y_SCALE
+
+
+def block(lat, lon, width: float) -> Column:
+    """Number of the square of about `width` metres that a place lies in."""
+    height = width / Y_SCALE
+    y = F.floor(lat / height)
+    return y * (1 << 32) + F.floor(lon * width_scale(y, height) / width)

@@ -76,7 +76,7 @@ def completed(arcs: DataFrame, routes: DataFrame, s: Streets, net: N.Network) ->
     anchors = anchors.where((F.col("n") <= ANCHORS) | picked).withColumn("tree_id", F.xxhash64("route_id", "node"))
     anchors, _ = store.written(anchors, "anchors")
     trees = anchors.select("tree_id", F.col("node").alias("start"), F.lit("balanced").alias("profile"), F.col("half").alias("max_length"), F.lit(True).alias("avoid_steps"), "request_id", "cut_edge", "banned")
-    labels, _ = paths.shortest_trees(ways, trees, own)
+    labels, _ = paths.shortest_trees(ways, trees, own, paths.blocks(s.nodes))
     reached = labels.select("tree_id", F.col("node").alias("target"), F.col("length").alias("out_m"))
     there, _ = paths.paths(labels, reached.select("tree_id", "target"))
     sides = s.edges.select("edge_id", "u", "v", "length", "lat1", "lon1", "lat2", "lon2", "physical_id").union(s.own_edges.select("edge_id", "u", "v", "length", "lat1", "lon1", "lat2", "lon2", "physical_id"))

@@ -115,7 +115,8 @@ def candidates(net: N.Network, requests: DataFrame, strategies: list[str] = STRA
     runs = ok.select("request_id", "distance", "avoid_steps", F.col("edge_id").alias("cut_edge"), "node", "start_lat", "start_lon", F.posexplode(F.array(*map(F.lit, strategies))).alias("n", "profile"))
     runs, _ = store.written(runs.withColumn("run_id", F.col("request_id").cast("long") * len(strategies) + F.col("n")), "runs")
     trees = runs.select(F.col("run_id").alias("tree_id"), F.col("node").alias("start"), "profile", (F.col("distance") * 1.2 * 0.7).alias("max_length"), "avoid_steps", "request_id", "cut_edge")
-    out, _ = paths.shortest_trees(arcs, trees, own_arcs)
+    at, _ = store.written(paths.blocks(s.nodes), "blocks")
+    out, _ = paths.shortest_trees(arcs, trees, own_arcs, at)
     reached = out.select(F.col("tree_id").alias("run_id"), F.col("node").alias("node_id"), "length").join(runs.drop("cut_edge", "node", "n"), "run_id")
     targets, _ = store.written(_targets(reached, s), "targets")
     ends = targets.select(F.col("run_id").alias("tree_id"), "target").distinct()
@@ -128,8 +129,8 @@ def candidates(net: N.Network, requests: DataFrame, strategies: list[str] = STRA
     home = runs.join(lengths, "run_id").join(used, ["run_id", "target"]).withColumn("k", F.explode(F.array(*map(F.lit, range(len(PENALTIES))))))
     home = home.withColumn("tree_id", F.xxhash64("run_id", "target", "k")).withColumn("penalty", F.element_at(F.array(*map(F.lit, PENALTIES)), F.col("k") + 1))
     home, _ = store.written(home, "home")
-    trees = home.select("tree_id", F.col("target").alias("start"), "profile", (F.col("distance") * 1.2 - F.col("out_m")).alias("max_length"), "avoid_steps", "request_id", "cut_edge", "penalty", "penalized")
-    back, _ = paths.shortest_trees(arcs, trees, own_arcs)
+    trees = home.select("tree_id", F.col("target").alias("start"), "profile", (F.col("distance") * 1.2 - F.col("out_m")).alias("max_length"), "avoid_steps", "request_id", "cut_edge", "penalty", "penalized", F.col("node").alias("goal"))
+    back, _ = paths.shortest_trees(arcs, trees, own_arcs, at)
     came, _ = paths.paths(back, home.select("tree_id", F.col("node").alias("target")))
     came = came.drop("target").join(home.select("tree_id", "run_id", "target", "k"), "tree_id")
     places = s.edges.select("edge_id", "u", "v", "length", "direction", *_PLACES).union(s.own_edges.select("edge_id", "u", "v", "length", "direction", *_PLACES))

@@ -108,7 +108,12 @@ def way_to(best, start, target):
     return out[::-1]
 
 
-def test_candidates_equal_a_plain_search(spark):
+@pytest.mark.parametrize("block, trees", [(2500.0, 256), (450.0, 40)])
+def test_candidates_equal_a_plain_search(spark, monkeypatch, block, trees):
+    """In one block, and across many blocks that several tasks settle."""
+    monkeypatch.setattr(paths, "BLOCK", block)
+    monkeypatch.setattr(paths, "TREES", trees)
+    monkeypatch.setattr(paths, "LABELS", 3000 if trees == 40 else 100_000)
     net = network.build(streets.elements(spark, SF))
     asked = [(1, 36.0004, 129.3031, 1000.0, True), (2, 36.0011, 129.3043, 1200.0, False), (3, 36.5, 129.3, 1000.0, True), (4, 36.0, 129.3, 500.0, True)]
     requests = spark.createDataFrame(asked, "request_id long, lat double, lon double, distance double, avoid_steps boolean")
@@ -482,6 +487,30 @@ def test_paths_of_trees(spark):
     assert {(r.tree_id, r.target, r.back, r.edge_id) for r in found.collect()} == {(1, 4, 0, 13), (1, 4, 1, 12), (2, 3, 0, 11), (2, 3, 1, 10)}
 
 
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    """A way of 1,000 arcs through five blocks, with a dear bridge across each."""
+    nodes = spark.createDataFrame([(i, 36.0 + i * 10 / 111_320, 129.3) for i in range(1001)], "node_id long, lat double, lon double")
+    hops = [(i, i + 1, i, 10.0, 10.0) for i in range(1000)] + [(i, i + 20, 5000 + i, 190.0, 500.0) for i in range(0, 980, 20)]
+    arcs = spark.createDataFrame([("p", u, v, e, m, c, False) for a, b, e, m, c in hops for u, v in ((a, b), (b, a))], "profile string, u long, v long, edge_id long, length double, cost double, steps boolean")
+    trees = spark.createDataFrame([(1, 0, "p", 20_000.0, 1.0, [], None, []), (2, 1000, "p", 20_000.0, 3.0, list(range(1000)), 0, []), (3, 0, "p", 9_600.0, 1.0, [], None, [7])], "tree_id long, start long, profile string, max_length double, penalty double, penalized array<long>, goal long, banned array<long>")
+    rounds, written = [], store.written
+    monkeypatch.setattr(store, "written", lambda df, name, **k: rounds.append(name) or written(df, name, **k))
+    labels, _ = paths.shortest_trees(arcs, trees, None, paths.blocks(nodes))
+    found, _ = paths.paths(labels, spark.createDataFrame([(1, 1000), (2, 0), (3, 1000)], "tree_id long, target long"))
+    assert rounds.count("block-labels") <= 8 and rounds.count("path-arcs") <= 8
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.tree_id, []).append((r.back, r.edge_id, r.u, r.v))
+    assert sorted(got[1]) == [(999 - i, i, i, i + 1) for i in range(999, -1, -1)]
+    # The way back pays thrice on the plain arcs, and so takes the bridges.
+    assert [e for _, e, _, _ in sorted(got[2])][:2] == [5000, 5020] and len(got[2]) == 69
+    # Without arc 7 the first bridge; what it costs in length leaves the end out of reach or not.
+    assert [e for _, e, _, _ in sorted(got.get(3, []))][-1:] in ([5000], [])
+    reach = {r.node: (r.cost, r.length) for r in labels.where("tree_id = 3").collect()}
+    want = tree({u: [(v, e, m, c, False) for a, b, e, m, c in hops for u2, v in ((a, b), (b, a)) if u2 == u and e != 7] for u in range(1001)}, 0, 9_600.0, False)
+    assert reach == {v: (c, m) for v, (c, _, _, m) in want.items()}
+
+
 def test_added_burden(spark):
     keys = "route_id long, crossing_m double, steps_m double, unpaved_m double, unlit_m double, n_crossings int"
     burden = spark.createDataFrame([(1, 5.0, 0.0, 10.0, 0.0, 1), (2, 5.0, 0.05, 10.2, 0.0, 2)], keys)
