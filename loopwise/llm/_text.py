@@ -15,8 +15,8 @@ import pyarrow as pa
 #: Bytes of text worked on at once; a longer single document is its own slice.
 SLICE_BYTES = 1 << 19
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of `[^\x20\x09-\x0D]+`; all bytes of a multi-byte character belong to words.
@@ -83,7 +83,7 @@ class Slice:
         while i < len(starts):
             first = int(starts[i])
             j = max(i + 1, int(np.searchsorted(ends, first + SLICE_BYTES, side="right")))
-            data = _LOWER[self.raw[first : ends[j - 1]]]
+            data = LOWER[self.raw[first : ends[j - 1]]]
             sums = np.zeros(len(data) + 1, dtype=np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
             a, b = starts[i:j] - first, ends[i:j] - first

@@ -18,7 +18,7 @@ they are.  The language of the scored text is never an input.
 
 All training words are counted and all distinct words enter the expected counts.  The
 most frequent words (at most HEAVY, by a threshold on the exact counts) meet the
-texts' tokens by broadcast, all others by a shuffled join, so no word is a hot key.
+texts' words by broadcast, all others by a shuffled join, so no word is a hot key.
 
 Null texts are empty, and have the end only; null ids are training rows; repeated rows
 count as often.  Words and texts of any length are whole: words of one length go
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopwise.llm import _learn, _store
+from loopwise.llm import _learn, _store, _text
 
 DISCOUNT, PRIOR, ROUNDS = 0.75, 1000.0, 3
 #: Languages with weights of their own, by training documents; all others share one set.
@@ -191,10 +191,21 @@ def _blocks(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, out
 
 
-def tokens(text: Column) -> Column:
-    """The words of a text, and the end: an empty one."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_append(F.filter(F.split(lower, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), F.lit(""))
+def _words(texts: pa.Array) -> Iterator[tuple[_text.Slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of texts with start, end, 64-bit hash (of the word with A-Z
+    lower-cased) and text of each word.  Hashes stand for words only where they are
+    compared within a slice or with HEAVY words."""
+    for part in _text.slices(texts, 1 << 22):
+        starts, ends, first = part.words()
+        yield part, starts, ends, part.word_hashes(starts, ends), np.repeat(np.arange(part.n), np.diff(first))
+
+
+def _cut(part: _text.Slice, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words from each start to its end, A-Z lower-cased."""
+    length = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], length)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_text.LOWER[part.raw[at]])).cast(pa.string())
 
 
 @dataclass
@@ -227,9 +238,25 @@ def languages(docs: DataFrame) -> tuple[Column, list[int]]:
 
 def counted(docs: DataFrame, k: Column, n: int) -> DataFrame:
     """word, everywhere (its count in all texts) and c0, c1, ... (in the training
-    texts of each language)."""
-    rows = docs.select(k.alias("k"), tokens(F.col("text")).alias("words")).select("k", F.explode("words").alias("word"))
-    return rows.groupBy("word").agg(F.count("*").alias("everywhere"), *[F.count_if(F.col("k") == i).alias(f"c{i}") for i in range(n)])
+    texts of each language); words of a slice of texts are counted before they are
+    shuffled."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column("k").fill_null(-1).to_numpy(zero_copy_only=False)
+            for part, starts, ends, hashes, doc in _words(batch.column("text")):
+                if not len(starts):
+                    continue
+                order = np.argsort(hashes)
+                first = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0]))
+                of = kind[part.first + doc[order]]
+                counts = [np.diff(np.append(first, len(order)))] + [np.add.reduceat((of == i).astype(np.int64), first) for i in range(n)]
+                at = order[first]
+                yield pa.RecordBatch.from_arrays([_cut(part, starts[at], ends[at]), *[pa.array(c.astype(np.int64)) for c in counts]], names=names)
+
+    names = ["word", "everywhere", *[f"c{i}" for i in range(n)]]
+    rows = docs.select(k.alias("k"), "text").mapInArrow(step, "word string, everywhere long, " + ", ".join(f"c{i} long" for i in range(n)))
+    return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
 def _expected(words: DataFrame, pieces: list[bytes], weights: np.ndarray) -> np.ndarray:
@@ -262,23 +289,22 @@ def _expected(words: DataFrame, pieces: list[bytes], weights: np.ndarray) -> np.
 def trained(words: DataFrame, documents: list[int], path: str, rounds: int = ROUNDS) -> Model:
     """The model of `counted` words, of training texts as many as `documents`."""
     pieces, first = vocabulary(path)
-    n = len(documents)
-    real = F.col("word") != ""
-    sums = [F.sum(f"c{i}").alias(f"t{i}") for i in range(n)] + [F.count_if(real & (F.col(f"c{i}") > 0)).alias(f"v{i}") for i in range(n)]
+    n, total = len(documents), sum(documents)
+    sums = [F.sum(f"c{i}").alias(f"t{i}") for i in range(n)] + [F.count_if(F.col(f"c{i}") > 0).alias(f"v{i}") for i in range(n)]
     own = sum((F.col(f"c{i}") for i in range(n)), F.lit(0))
     facts = words.agg(*sums, F.sum(own).alias("all"), F.count_if(own > 0).alias("distinct")).first()
     weights = np.tile(first, (n, 1))
-    seen = words.where(real & (own > 0))
-    for _ in range(rounds if facts["all"] else 0):
+    seen = words.where(own > 0)
+    for _ in range(rounds if total else 0):
         weights = _expected(seen, pieces, weights) + PRIOR * first
         weights /= weights.sum(axis=1, keepdims=True)
-    total = sum(documents)
-    return Model(pieces, weights, [d / total if total else 1.0 for d in documents], [facts[f"t{i}"] or 0 for i in range(n)], [facts[f"v{i}"] for i in range(n)], documents, facts["all"] or 0, facts["distinct"])
+    tokens = [(facts[f"t{i}"] or 0) + documents[i] for i in range(n)]
+    return Model(pieces, weights, [d / total if total else 1.0 for d in documents], tokens, [facts[f"v{i}"] for i in range(n)], documents, (facts["all"] or 0) + total, facts["distinct"] + bool(total))
 
 
 def scored_words(words: DataFrame, m: Model) -> DataFrame:
     """word, everywhere, known (seen in training), base (log10 of its smoothed share
-    of all training tokens), s0, s1, ...: log10 P_k of a word, or of the end."""
+    of all training tokens), s0, s1, ...: log10 P_k of the word."""
     n = len(m.weights)
     logs = [_logs(w) for w in m.weights]
 
@@ -292,13 +318,11 @@ def scored_words(words: DataFrame, m: Model) -> DataFrame:
                 arcs = found.arcs(data)
                 for i in range(n):
                     ways[i, rows] = found.forward(arcs, data.shape[1], logs[i])[data.shape[1]]
-            end = np.array([w == "" for w in batch.column("word").to_pylist()], bool) if (ways[0] == -np.inf).any() else np.zeros(batch.num_rows, bool)
             out = []
             for i in range(n):
                 own, rest = np.maximum(counts[i] - DISCOUNT, 0), DISCOUNT * m.distinct[i] + 0.5
                 with np.errstate(divide="ignore"):
                     p = np.logaddexp(np.log(own), math.log(rest) + ways[i])
-                p = np.where(end, math.log(m.ends[i] + 0.5), p)
                 out.append((p - math.log(m.tokens[i] + 1)) / math.log(10))
             total = counts.sum(axis=0)
             base = np.log10((total + 1) / (m.all_tokens + m.all_distinct + 1))
@@ -308,38 +332,74 @@ def scored_words(words: DataFrame, m: Model) -> DataFrame:
 
 
 def _frequent(words: DataFrame, most: int) -> Column:
-    """Words above a count that at most `most` words reach, and the end."""
+    """Words above a count that at most `most` words reach."""
     steps = sorted({math.ceil(1.25**j) for j in range(190)})
     row = words.agg(*[F.count_if(F.col("everywhere") >= t).alias(str(t)) for t in steps]).first()
-    least = next((t for t in steps if (row[str(t)] or 0) <= most), steps[-1])
-    return (F.col("everywhere") >= least) | (F.col("word") == "")
+    least = next((t for t in steps if (row[str(t)] or 0) <= most), steps[-1] + 1)
+    return F.col("everywhere") >= least
+
+
+def _said(docs: DataFrame, often: DataFrame, n: int) -> DataFrame:
+    """Rows of two kinds: for each text h1, h2, copies = 1 and the sums over its
+    words that are in `often` (HEAVY words at most); for each other word of it h1, h2
+    and the word."""
+    table = often.toPandas()  # HEAVY rows at most
+    data = " ".join(table["word"]).encode()
+    whole = _text.Slice(0, np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    hashes = whole.word_hashes(*whole.words()[:2])
+    order = np.argsort(hashes)
+    hashes, values = hashes[order], table.drop(columns="word").to_numpy(np.float64)[order]
+    names = ["h1", "h2", "word", "copies", "n", "known", "base", *[f"s{i}" for i in range(n)]]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
+            for part, starts, ends, own, doc in _words(batch.column("text")):
+                rows = slice(part.first, part.first + part.n)
+                at = np.minimum(np.searchsorted(hashes, own), max(len(hashes) - 1, 0))
+                here = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
+                of, hit = doc[here], values[at[here]] if len(hashes) else np.zeros((0, n + 2))
+                count = np.bincount(of, minlength=part.n).astype(np.int64)
+                sums = [np.bincount(of, weights=hit[:, i], minlength=part.n).astype(np.float64) for i in range(n + 2)]
+                known = np.round(sums[0]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[rows]), pa.array(h2[rows]), pa.nulls(part.n, pa.string()), pa.array(np.ones(part.n, np.int64)), pa.array(count), pa.array(known), *map(pa.array, sums[1:])], names=names)
+                rare = np.flatnonzero(~here)
+                for i in range(0, len(rare), 1 << 16):
+                    some = rare[i : i + (1 << 16)]
+                    none = [pa.nulls(len(some), pa.int64())] * 3 + [pa.nulls(len(some), pa.float64())] * (n + 1)
+                    text = part.first + doc[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[text]), pa.array(h2[text]), _cut(part, starts[some], ends[some]), *none], names=names)
+
+    schema = "h1 long, h2 int, word string, copies long, n long, known long, base double, " + ", ".join(f"s{i} double" for i in range(n))
+    return docs.select(*keys(F.col("text")), "text").mapInArrow(step, schema)
 
 
 def likelihood(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
     """Per distinct text of `docs(text, lang, train)`: h1, h2 (hashes of 96 bits),
     n_tokens, n_known, train_tokens, base_score and score."""
+    spark = docs.sparkSession
     k, documents = languages(docs)
     words, words_at = _store.written(counted(docs, k, len(documents)), "counted-words")
     m = trained(words, documents, path, rounds)
     scored, scored_at = _store.written(scored_words(words, m), "scored-words")
-    _store.drop(docs.sparkSession, words_at)
+    _store.drop(spark, words_at)
     n = len(documents)
-    sums = [F.count("*").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]]
     often = _frequent(scored, HEAVY)
-    heavy = F.broadcast(scored.where(often).drop("everywhere"))  # HEAVY words at most, and the end
-    # Hashed once a text, before its words part.
-    said = docs.select(*keys(F.col("text")), tokens(F.col("text")).alias("words")).select("h1", "h2", F.explode("words").alias("word"))
-    many = said.join(heavy, "word").groupBy("h1", "h2").agg(*sums, F.count_if(F.col("word") == "").alias("copies"))
-    few = said.join(heavy.select("word"), "word", "left_anti").join(scored.where(~often).drop("everywhere"), "word")
-    few = few.groupBy("h1", "h2").agg(*sums, F.lit(0).cast("long").alias("copies"))
-    names = ["n", "known", "base", *[f"s{i}" for i in range(n)], "copies"]
-    both = many.unionByName(few).groupBy("h1", "h2").agg(*[F.sum(c).alias(c) for c in names])
-    # Copies of a text have all met: each has said one end.
-    share = [F.lit(math.log10(s)) + F.col(f"s{i}") / F.col("copies") for i, s in enumerate(m.share)]
+    parts, _ = _store.written(_said(docs, scored.where(often).drop("everywhere"), n), "words-of-texts")
+    values = ["n", "known", "base", *[f"s{i}" for i in range(n)]]
+    many = parts.where("word is null").groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), *[F.sum(c).alias(c) for c in values])
+    rare = parts.where("word is not null").select("h1", "h2", "word").join(scored.where(~often).drop("everywhere"), "word")
+    few = rare.groupBy("h1", "h2").agg(F.lit(0).cast("long").alias("copies"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in values[1:]])
+    both = many.unionByName(few).groupBy("h1", "h2").agg(*[F.sum(c).alias(c) for c in ["copies", *values]])
+    # Copies of a text have met in one row; the end is a token of each.
+    total, ends = m.all_tokens, sum(m.ends)
+    end = [math.log10(s) + math.log10((m.ends[i] + 0.5) / (m.tokens[i] + 1)) for i, s in enumerate(m.share)]
+    share = [F.lit(e) + F.col(f"s{i}") / F.col("copies") for i, e in enumerate(end)]
     most = F.greatest(*share) if n > 1 else share[0]
     score = most + F.log10(sum((F.pow(F.lit(10.0), x - most) for x in share), F.lit(0.0)))
-    whole = lambda c: F.floor(F.col(c) / F.col("copies") + 0.5).cast("long")
-    return both.select("h1", "h2", whole("n").alias("n_tokens"), whole("known").alias("n_known"), F.lit(m.all_tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), score.alias("score"))
+    per = lambda c: F.floor(F.col(c) / F.col("copies") + 0.5).cast("long")
+    base = F.col("base") / F.col("copies") + math.log10((ends + 1) / (total + m.all_distinct + 1))
+    return both.select("h1", "h2", (per("n") + 1).alias("n_tokens"), (per("known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def keys(text: Column) -> list[Column]:
