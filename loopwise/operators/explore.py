@@ -82,7 +82,7 @@ def streets(net: N.Network, requests: DataFrame) -> Streets:
     return Streets(found, nodes, edges, pois, own)
 
 
-def _targets(labels: DataFrame, s: Streets) -> DataFrame:
+def _targets(labels: DataFrame, s: Streets, variants: int = VARIANTS) -> DataFrame:
     """run_id, variant, place (order) and node: in each of the sectors around the
     start and for each ratio the node whose way out is nearest to that share of
     the distance."""
@@ -90,14 +90,14 @@ def _targets(labels: DataFrame, s: Streets) -> DataFrame:
     far = labels.join(s.nodes, "node_id").where("length >= distance * 0.17")
     turn = F.atan2((F.col("lon") - F.col("start_lon")) * F.cos(F.radians("start_lat")), F.col("lat") - F.col("start_lat")) + 2 * 3.141592653589793 + F.col("variant") % 4 * (3.141592653589793 / 32)
     sector = F.pmod(F.floor(turn / (2 * 3.141592653589793) * SECTORS), F.lit(SECTORS))
-    each = far.withColumn("variant", F.explode(F.array(*map(F.lit, range(VARIANTS))))).withColumn("sector", sector)
+    each = far.withColumn("variant", F.explode(F.array(*map(F.lit, range(variants))))).withColumn("sector", sector)
     each = each.select("run_id", "variant", "sector", "node_id", "node_seq", "length", "distance", F.posexplode(F.array(*map(F.lit, RATIOS))).alias("r", "ratio"))
     best = each.groupBy("run_id", "variant", "sector", "r").agg(F.min(F.struct(F.abs(F.col("length") - F.col("distance") * F.col("ratio")).alias("gap"), "node_seq", "node_id", "length")).alias("s"))
     once = best.groupBy("run_id", "variant", F.col("s.node_id").alias("target"), F.col("s.length").alias("out_m")).agg(F.min(F.col("sector") * len(RATIOS) + F.col("r")).alias("first"))
     return once.withColumn("place", F.row_number().over(Window.partitionBy("run_id", "variant").orderBy("first"))).drop("first")
 
 
-def candidates(net: N.Network, requests: DataFrame, strategies: list[str] = STRATEGIES) -> tuple[DataFrame, DataFrame, Streets]:
+def candidates(net: N.Network, requests: DataFrame, strategies: list[str] = STRATEGIES, variants: int = VARIANTS) -> tuple[DataFrame, DataFrame, Streets]:
     """(arcs, targets, streets): the arcs of all candidate routes of `requests(
     request_id, lat, lon, distance, avoid_steps)` under each strategy and variant.
 
@@ -118,7 +118,7 @@ def candidates(net: N.Network, requests: DataFrame, strategies: list[str] = STRA
     at, _ = store.written(paths.blocks(s.nodes), "blocks")
     out, _ = paths.shortest_trees(arcs, trees, own_arcs, at)
     reached = out.select(F.col("tree_id").alias("run_id"), F.col("node").alias("node_id"), "length").join(runs.drop("cut_edge", "node", "n"), "run_id")
-    targets, _ = store.written(_targets(reached, s), "targets")
+    targets, _ = store.written(_targets(reached, s, variants), "targets")
     ends = targets.select(F.col("run_id").alias("tree_id"), "target").distinct()
     there, _ = paths.paths(out, ends)
     there = there.withColumnRenamed("tree_id", "run_id")
@@ -194,15 +194,15 @@ class Exploration:
     streets: Streets
 
 
-def explored(net: N.Network, requests: DataFrame, strategies: list[str] = STRATEGIES) -> Exploration:
+def explored(net: N.Network, requests: DataFrame, strategies: list[str] = STRATEGIES, variants: int = VARIANTS) -> Exploration:
     """All closed routes of the requests (see `candidates`) within 20 % of the
     distance: of routes with the same corners the first counts, in the order of
     variants, strategies, targets and kinds, and is named candidate-0001 and on."""
-    arcs, targets, s = candidates(net, requests, strategies)
+    arcs, targets, s = candidates(net, requests, strategies, variants)
     n = len(strategies)
     number = F.array_position(F.array(*map(F.lit, strategies)), F.col("strategy")) - 1
     # Eighty targets at most, five kinds: the number keeps the order of search.
-    route_id = ((F.col("request_id").cast("long") * VARIANTS + F.col("variant")) * n + number) * 1000 + F.col("place") * 10 + F.col("kind")
+    route_id = ((F.col("request_id").cast("long") * variants + F.col("variant")) * n + number) * 1000 + F.col("place") * 10 + F.col("kind")
     arcs, _ = store.written(arcs.withColumn("route_id", route_id), "route-arcs")
     asked = requests.select("request_id", "distance")
     at = evaluate.points(arcs)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loopwise import store
-from loopwise.operators import evaluate, families, ranking, sequence
+from loopwise.operators import elevation, evaluate, families, ranking, sequence
 from loopwise.operators.explore import Exploration
 
 
@@ -50,6 +50,14 @@ def results(x: Exploration, heights: DataFrame | None = None) -> Results:
     return Results(routes, ranking.recommend(routes), ranking.pending(routes), ranked, stats, families.variants(ranked, pairs))
 
 
+def heights(x: Exploration, terrain: DataFrame, zoom: int, x0: int, y0: int) -> DataFrame:
+    """elevation_known and range_m of every route over a raster (see
+    `elevation.profile`); bridges and tunnels are unknown."""
+    shut = x.segments.select("route_id", F.col("seq").alias("i"), "bridge", "tunnel")
+    line = x.points.join(shut, ["route_id", "i"], "left")
+    return elevation.ranges(elevation.profile(line, terrain, zoom, x0, y0), "route_id")
+
+
 def shape_counts(shapes: DataFrame) -> DataFrame:
     """Loops, partial ones and outbacks of each request."""
     return shapes.groupBy("request_id").agg(*[F.count_if(F.col("shape") == s).alias(f"n_{s}") for s in ("loop", "partial", "outback")])

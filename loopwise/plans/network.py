@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loopwise.operators import completions, evaluate, explore, network, results, sequence
+from loopwise.operators import completions, evaluate, explore, nearby, network, results, sequence
 from loopwise.plans.base import query, rounded
 from loopwise.sources import routes as R
 from loopwise.sources import streets as S
+from loopwise.sources import tiles
 
 
 @query(S.SQL + " select physical_id, u, v, round(length, 6) length, street, crossing, signal, boulevard, round(cross_fraction, 6) cross_fraction, direction::bigint direction, n_pois from net")
@@ -27,6 +28,19 @@ def _requests(spark, d, distance: float = 1000.0):
     return spark.read.parquet(f"{d}/region.parquet").select(k.alias("request_id"), (36.0004 + k * F.lit(0.0007)).alias("lat"), (129.3031 + k * F.lit(0.0012)).alias("lon"), F.lit(distance).alias("distance"), (k % 2 == 0).alias("avoid_steps"))
 
 
+def _heights(spark, x):
+    """Heights of all routes over a raster of slopes, which knows every pixel."""
+    x0, y0, width, height = tiles.terrain_window((35.9, 129.2, 36.1, 129.4), 12)
+    grid = spark.range(width * height).select((F.col("id") % width).alias("ix"), F.floor(F.col("id") / width).alias("iy"))
+    return results.heights(x, grid.withColumn("value", (F.col("ix") * 3.0 + F.col("iy") * 5.0) % 40), 12, x0, y0)
+
+
+def _places(spark, d):
+    """One request for each nation, every 30 metres or so along the lattice."""
+    k = F.col("n_nationkey")
+    return spark.read.parquet(f"{d}/nation.parquet").select(k.cast("long").alias("request_id"), (36.0004 + k * F.lit(0.00031)).alias("lat"), (129.3031 + k * F.lit(0.00047)).alias("lon"), F.lit(1000.0).alias("distance"), (k % 2 == 0).alias("avoid_steps"))
+
+
 @query()
 def explored_routes(spark, d):
     """All closed routes that the searches find for each region's request, with
@@ -42,25 +56,44 @@ def explored_routes(spark, d):
 def recommended_courses(spark, d):
     """The main query: courses found for each region's request, with the reasons to
     recommend them and their families."""
-    x = explore.explored(network.build(S.elements(spark, d)), _requests(spark, d), ["distance", "balanced"])
-    r = results.results(x)
+    x = explore.explored(network.build(S.elements(spark, d)), _requests(spark, d))
+    r = results.results(x, _heights(spark, x))
     cards = r.cards.select("route_id", "reasons")
     place = r.families.select("route_id", "cluster", "place")
     rows = r.routes.select("request_id", "route_id", "candidate", "length", "final_score", "shape", "n_signals", "n_unknown").join(place, "route_id").join(cards, "route_id", "left")
     return rounded(rows)
 
 
+@query()
+def nearby_access(spark, d):
+    """Starts with better streets around each nation's place, with the ways there
+    and back."""
+    net = network.build(S.elements(spark, d))
+    return rounded(nearby.access(explore.streets(net, _places(spark, d)), net))
+
+
+@query()
+def nearby_starts(spark, d):
+    """Routes from starts near each region's own: the leaders found there, with
+    every gate and, for those that are proposed, their place."""
+    net, requests = network.build(S.elements(spark, d)), _requests(spark, d)
+    x = explore.explored(net, requests)
+    n = nearby.nearby_starts(net, requests, x, results.results(x))
+    rows = n.routes.select("request_id", "place", "route_id", "length", "walk_m", "gain", "near_distance", "short_access", "no_more_steps", "no_more_crossings", "worth", F.array_join("reasons", ",").alias("reasons"), "qualified")
+    return rounded(rows.join(n.proposals.drop("place"), ["request_id", "route_id"], "left"))
+
+
 @query()
 def search_batches(spark, d):
     """How many routes each search of each request tried, found and kept."""
-    return explore.explored(network.build(S.elements(spark, d)), _requests(spark, d), ["distance", "flow"]).batches
+    return explore.explored(network.build(S.elements(spark, d)), _requests(spark, d)).batches
 
 
 @query()
 def completed_routes(spark, d):
     """Excursions that make short routes whole."""
     net = network.build(S.elements(spark, d))
-    arcs, _, s = explore.candidates(net, _requests(spark, d), ["balanced"])
+    arcs, _, s = explore.candidates(net, _requests(spark, d))
     key = F.xxhash64("request_id", "strategy", "variant", "place", "kind")
     arcs = arcs.withColumn("route_id", key)
     routes = arcs.groupBy("route_id", "request_id").agg(F.sum("length").alias("length")).withColumn("distance", F.lit(1000.0))
