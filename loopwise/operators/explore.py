@@ -58,7 +58,7 @@ def streets(net: N.Network, requests: DataFrame) -> Streets:
     """The written network and starts of `requests(request_id, lat, lon, distance,
     avoid_steps)`, with split edges for starts inside one."""
     edges, _ = store.written(net.edges.withColumns({"physical_length": F.col("length"), **{f"physical_{c}": F.col(c) for c in _PLACES}}), "edges")
-    nodes, _ = store.written(net.nodes, "nodes")
+    nodes, _ = store.written(N.nodes_of(edges), "nodes")
     edge_pois, _ = store.written(net.edge_pois.join(net.pois, "poi_id").select("edge_id", "poi_id", "kind", F.col("lat").alias("poi_lat"), F.col("lon").alias("poi_lon")), "edge-pois")
     found, _ = store.written(starts(requests, N.Network(nodes, edges, net.pois, net.edge_pois)), "starts")
     cut = found.where("edge_id is not null").select("request_id", "edge_id", "node", "t", "start_lat", "start_lon")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loopwise import store
 from loopwise.functions import evidence as E
 from loopwise.functions import geo
 from loopwise.operators import spatial
@@ -97,6 +98,8 @@ def build(elements: DataFrame, bbox: tuple[float, float, float, float] | None =
         F.when(crossing, F.col("length") / F.greatest("way_m", "length")).otherwise(0.0).alias("cross_fraction"),
         E.foot_direction(tags).alias("direction"),
     )
+    # Five joins and all later stages read these.
+    base, _ = store.written(base, "street-segments")
     signals = elements.where("type = 'node'").where(E.signal_node(F.col("tags"))).select("lat", "lon")
     near = spatial.edges_near_points(base.where("crossing and not denied"), signals, NEAR_SIGNAL).withColumn("near", F.lit(True))
     roads = _segments(ways.where(F.coalesce(E.tag("tags", "highway").isin(E.MAJOR), F.lit(False)))).select("lat1", "lon1", "lat2", "lon2")
@@ -104,14 +107,18 @@ def build(elements: DataFrame, bbox: tuple[float, float, float, float] | None =
     along = spatial.near_edges(middle, roads, ALONG_ROAD).select("edge_id").distinct().withColumn("boulevard", F.lit(True))
     pois = _pois(elements, bbox)
     edge_pois = spatial.near_edges(pois, base.select("edge_id", "lat1", "lon1", "lat2", "lon2"), BY_PATH).select("edge_id", "poi_id").distinct()
+    edge_pois, _ = store.written(edge_pois, "pois-of-edges")
     counts = edge_pois.groupBy("edge_id").agg(F.count("*").alias("n_pois"))
     edges = base.join(near, "edge_id", "left").join(along, "edge_id", "left").join(counts, "edge_id", "left").fillna(False, ["near", "boulevard"]).fillna(0, ["n_pois"])
     signal = F.when(~F.col("crossing"), F.lit(None)).when(F.col("said"), "tagged").when(F.col("near"), "nearby").when(F.col("denied"), "none").otherwise("unknown")
     edges = edges.withColumn("signal", signal).drop("said", "denied", "near")
+    return Network(nodes_of(edges), edges, pois, edge_pois)
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    """node_id, node_seq, lat, lon: a node stands where its first segment has it."""
     ends = edges.select(F.explode(F.array(*[F.struct(F.col(n).alias("node_id"), F.struct(F.col("edge_id"), F.lit(i).alias("end")).alias("first"), F.col(f"lat{i + 1}").alias("lat"), F.col(f"lon{i + 1}").alias("lon")) for i, n in enumerate("uv")])).alias("e")).select("e.*")
-    # A node stands where its first segment has it.
-    nodes = ends.groupBy("node_id").agg(F.min(F.struct("first", "lat", "lon")).alias("s")).select("node_id", (F.col("s.first.edge_id") * 2 + F.col("s.first.end")).alias("node_seq"), "s.lat", "s.lon")
-    return Network(nodes, edges, pois, edge_pois)
+    return ends.groupBy("node_id").agg(F.min(F.struct("first", "lat", "lon")).alias("s")).select("node_id", (F.col("s.first.edge_id") * 2 + F.col("s.first.end")).alias("node_seq"), "s.lat", "s.lon")
 
 
 def _pois(elements: DataFrame, bbox) -> DataFrame:

@@ -10,13 +10,14 @@ from loopwise.functions import geo
 
 def near_edges(points: DataFrame, edges: DataFrame, most: float) -> DataFrame:
     """Every point(lat, lon, ...) with every edge(lat1, lon1, lat2, lon2, ...) at
-    most `most` metres away: both go to grid cells wider than that, points look
-    into their own cell and edges stand in all cells that they come near to."""
+    most `most` metres away: both go to grid cells wider than that in metres at
+    their latitude (each band of latitude has its own columns), points look into
+    their own cell and edges stand in all cells that they come near to."""
     cell = (most + 50) / geo.Y_SCALE
-    x_cell = (most + 50) / geo.X_SCALE * 1.1
+    x_cell = F.lit(most + 50) / geo.width_scale(F.col("__y"), cell)
     p = points.withColumn("__y", F.floor(F.col("lat") / cell)).withColumn("__x", F.floor(F.col("lon") / x_cell))
     e = edges.withColumn("__y", F.explode(geo.cells(F.least("lat1", "lat2") - cell, F.greatest("lat1", "lat2") + cell, cell)))
-    e = e.withColumn("__x", F.explode(geo.cells(F.least("lon1", "lon2") - x_cell, F.greatest("lon1", "lon2") + x_cell, x_cell)))
+    e = e.withColumn("__x", F.explode(F.sequence(F.floor((F.least("lon1", "lon2") - x_cell) / x_cell), F.floor((F.greatest("lon1", "lon2") + x_cell) / x_cell))))
     met = p.join(e, ["__y", "__x"]).drop("__y", "__x")
     met = met.withColumn("on", geo.project(*map(F.col, ["lat", "lon", "lat1", "lon1", "lat2", "lon2"])))
     return met.where(F.col("on.distance") <= most)

@@ -173,6 +173,25 @@ def poi_edges(spark, d):
     return spatial.near_edges(R.pois(spark, d), R.edges(spark, d), 50.0).select("poi_id", "edge_id", F.round("on.distance", 6).alias("distance"))
 
 
+# The same streets at other latitudes, as wide in metres.
+_LATITUDES = {0: 0.8090169943749475, 36: 1.0, 60: 1.6180339887498949, 79: 4.239942131217364}
+_MOVED = "moved as (select * from (values {}) v(deg, wider)), mp as (select poi_id, deg, lat - 36 + deg lat, 129 + (lon - 129) * wider lon from pois, moved), me as (select edge_id, deg, lat1 - 36 + deg lat1, 129 + (lon1 - 129) * wider lon1, lat2 - 36 + deg lat2, 129 + (lon2 - 129) * wider lon2 from edges, moved)".format(", ".join(f"({k}, {v})" for k, v in _LATITUDES.items()))
+
+
+@query(f", {_MOVED} select deg::bigint deg, poi_id, edge_id, round({_ON}, 6) distance from (select *, {_T} t from mp join me using (deg) where abs(lat - (lat1 + lat2) / 2) < 0.005) where {_ON} <= 120")
+def poi_edges_by_latitude(spark, d):
+    """Streets near facilities with the whole map moved to four latitudes."""
+    deg = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("deg"), F.lit(v).alias("wider")) for k, v in _LATITUDES.items()])).alias("m")
+
+    def moved(df, id, *ends):
+        lat = [(F.col(f"lat{e}") - 36 + F.col("m.deg")).alias(f"lat{e}") for e in ends]
+        lon = [(129 + (F.col(f"lon{e}") - 129) * F.col("m.wider")).alias(f"lon{e}") for e in ends]
+        return df.select("*", deg).select(F.struct("m.deg", id).alias(id), *lat, *lon)
+
+    met = spatial.near_edges(moved(R.pois(spark, d), "poi_id", ""), moved(R.edges(spark, d), "edge_id", "1", "2"), 120.0).where("poi_id.deg = edge_id.deg")
+    return met.select("poi_id.deg", "poi_id.poi_id", "edge_id.edge_id", F.round("on.distance", 6).alias("distance"))
+
+
 @query(f"""select poi_id, edge_id, round(t, 6) t, round(dist, 6) distance, case when t < 0.001 then 'start' when t > 0.999 then 'end' when t is not null then 'inside' else 'none' end place
 from pois left join (select poi_id, edge_id, t, dist, row_number() over (partition by poi_id order by dist, edge_id) n from (select *, {_ON} dist from (select *, {_T} t from pois, edges)) where dist <= 100) on poi_id = poi_id_ and n = 1""".replace("(select poi_id, edge_id, t, dist, row", "(select poi_id poi_id_, edge_id, t, dist, row"))
 def snap_start(spark, d):

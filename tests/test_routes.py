@@ -125,8 +125,12 @@ def test_access_rules(spark):
     assert got == {i: u for i, (_, u) in enumerate(cases)}
 
 
-def test_near_edges_equals_all_pairs(spark):
-    p, e = routes.pois(spark, SF), routes.edges(spark, SF)
+@pytest.mark.parametrize("degrees", [0, 36, 60, 79])
+def test_near_edges_equals_all_pairs(spark, degrees):
+    """At the equator and far north, on streets as wide in metres."""
+    wider = math.cos(math.radians(36)) / math.cos(math.radians(degrees))
+    there = lambda df: df.withColumns({c: F.col(c) - 36 + degrees if c.startswith("lat") else 129 + (F.col(c) - 129) * wider for c in df.columns if c[:3] in ("lat", "lon")})
+    p, e = there(routes.pois(spark, SF)), there(routes.edges(spark, SF))
     got = {(r.poi_id, r.edge_id) for r in spatial.near_edges(p, e, 140.0).collect()}
     want = set()
     for a in p.collect():
