@@ -17,6 +17,8 @@ STRATEGIES = ["distance", "balanced", "flow", "boulevard", "supply"]
 VARIANTS, SECTORS = 2, 16
 RATIOS = [0.24, 0.34, 0.43, 0.53, 0.66]
 PENALTIES = [2.5, 8.0]
+#: Numbers for the routes of one search.
+IDS = 10_000
 
 _PLACES = ["lat1", "lon1", "lat2", "lon2"]
 
@@ -184,7 +186,8 @@ class Exploration:
     """routes: request_id, route_id, candidate, length, error, closure_m, signature,
     n_searches; searches: which strategies and variants found each route;
     batches: eligible, unique and attempted per request, strategy and variant;
-    segments and points of the routes; streets."""
+    segments and points of the routes; streets; completions: which routes are
+    short ones (parent) made whole by an excursion at at_m of added_m metres."""
 
     routes: DataFrame
     searches: DataFrame
@@ -192,23 +195,54 @@ class Exploration:
     segments: DataFrame
     points: DataFrame
     streets: Streets
+    completions: DataFrame
 
 
-def explored(net: N.Network, requests: DataFrame, strategies: list[str] = STRATEGIES, variants: int = VARIANTS) -> Exploration:
+def _eligible(arcs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Closed routes of `arcs` within the bounds, with length, error and signature."""
+    at = evaluate.points(arcs)
+    lengths = arcs.groupBy("request_id", "strategy", "variant", "route_id").agg(F.sum("length").alias("length"))
+    lengths = lengths.join(requests.select("request_id", "distance"), "request_id").withColumn("error", F.abs(F.col("length") - F.col("distance")) / F.col("distance"))
+    valid = ranking.within_bounds(lengths.join(sequence.closures(at), "route_id"))
+    return store.written(valid.join(evaluate.signatures(at), "route_id"), "eligible")[0]
+
+
+def _completions(arcs: DataFrame, valid: DataFrame, s: Streets, net: N.Network) -> tuple[DataFrame, DataFrame]:
+    """(arcs, found): the short routes of each search made whole, as further routes
+    of that search.  Routes of several searches are completed once."""
+    from loopwise.operators import completions
+
+    once = valid.withColumn("parent", F.min("route_id").over(Window.partitionBy("request_id", "signature")))
+    mine = F.row_number().over(Window.partitionBy("request_id", "strategy", "variant", "signature").orderBy("route_id"))
+    copies = once.withColumn("n", mine).where("n = 1").select("request_id", "strategy", "variant", "route_id", "parent")
+    firsts = once.where("route_id = parent").select("route_id", "request_id", "length", "distance")
+    proposals, whole = completions.completed(arcs.join(firsts.select("route_id"), "route_id", "left_semi"), firsts, s, net)
+    # Behind all routes of the same search, in their order.
+    number = F.floor(F.col("route_id") / IDS) * IDS + 1000 + F.col("route_id") % IDS * 2 + F.col("nth") - 1
+    found = copies.join(proposals.select(F.col("route_id").alias("parent"), F.col("place").alias("nth"), "at_m", "added_m", "method"), "parent").withColumn("route_id", number)
+    found, _ = store.written(found, "completions")
+    more = found.join(whole.select(F.col("route_id").alias("parent"), F.col("place").alias("nth"), "seq", "edge_id", "from_node", "to_node", "length", *_PLACES), ["parent", "nth"])
+    return more.select("request_id", "strategy", "variant", "route_id", "seq", "edge_id", "from_node", "to_node", "length", *_PLACES), found
+
+
+def explored(net: N.Network, requests: DataFrame, strategies: list[str] = STRATEGIES, variants: int = VARIANTS, complete: bool = True) -> Exploration:
     """All closed routes of the requests (see `candidates`) within 20 % of the
     distance: of routes with the same corners the first counts, in the order of
-    variants, strategies, targets and kinds, and is named candidate-0001 and on."""
+    variants, strategies, targets and kinds, and is named candidate-0001 and on.
+    Those that miss a little of the distance are made whole by an excursion as well
+    (`complete`), as the last routes of the search that found them."""
     arcs, targets, s = candidates(net, requests, strategies, variants)
     n = len(strategies)
     number = F.array_position(F.array(*map(F.lit, strategies)), F.col("strategy")) - 1
     # Eighty targets at most, five kinds: the number keeps the order of search.
-    route_id = ((F.col("request_id").cast("long") * variants + F.col("variant")) * n + number) * 1000 + F.col("place") * 10 + F.col("kind")
+    route_id = ((F.col("request_id").cast("long") * variants + F.col("variant")) * n + number) * IDS + F.col("place") * 10 + F.col("kind")
     arcs, _ = store.written(arcs.withColumn("route_id", route_id), "route-arcs")
-    asked = requests.select("request_id", "distance")
-    at = evaluate.points(arcs)
-    lengths = arcs.groupBy("request_id", "strategy", "variant", "route_id").agg(F.sum("length").alias("length")).join(asked, "request_id").withColumn("error", F.abs(F.col("length") - F.col("distance")) / F.col("distance"))
-    valid = ranking.within_bounds(lengths.join(sequence.closures(at), "route_id"))
-    valid, _ = store.written(valid.join(evaluate.signatures(at), "route_id"), "eligible")
+    valid = _eligible(arcs, requests)
+    made = None
+    if complete:
+        more, made = _completions(arcs, valid, s, net)
+        arcs, _ = store.written(arcs.select(more.columns).unionByName(more.withColumn("seq", F.col("seq").cast(arcs.schema["seq"].dataType))), "all-arcs")
+        valid, _ = store.written(valid.unionByName(_eligible(arcs.join(made.select("route_id"), "route_id", "left_semi"), requests)), "all-eligible")
     first = F.min("route_id").over(Window.partitionBy("request_id", "signature"))
     named = valid.withColumn("first", first)
     searches = named.select("request_id", F.col("first").alias("route_id"), "strategy", "variant").distinct()
@@ -222,7 +256,12 @@ def explored(net: N.Network, requests: DataFrame, strategies: list[str] = STRATE
     every = s.edges.unionByName(s.own_edges.drop("request_id", "parent"))
     segments, _ = store.written(evaluate.segments(kept, every).withColumn("seq", F.col("seq").cast("long")), "segments")
     points, _ = store.written(evaluate.points(kept), "points")
-    return Exploration(routes, searches, batches, segments, points, s)
+    columns = ["request_id", "route_id", "parent", "at_m", "added_m", "method"]
+    if made is None:
+        made = routes.limit(0).select("request_id", "route_id", F.col("route_id").alias("parent"), F.col("length").alias("at_m"), F.col("length").alias("added_m"), F.col("candidate").alias("method"))
+    else:
+        made = made.join(named.select("route_id", "first"), "route_id").withColumn("route_id", F.col("first"))
+    return Exploration(routes, searches, batches, segments, points, s, made.select(columns).distinct())
 
 
 def broken(routes: DataFrame) -> DataFrame:

@@ -536,6 +536,15 @@ def test_short_routes_are_completed(spark):
     arcs = s.edges.where("way_id = 1").select(F.lit(7).cast("long").alias("route_id"), F.lit(1).cast("long").alias("request_id"), F.col("edge_id").alias("seq"), "edge_id", F.col("u").alias("from_node"), F.col("v").alias("to_node"), "length", "lat1", "lon1", "lat2", "lon2")
     length = arcs.agg(F.sum("length")).first()[0]
     routes_ = spark.createDataFrame([(7, 1, length, 1000.0), (8, 1, 1000.0, 1000.0)], "route_id long, request_id long, length double, distance double")
+    ex = explore.explored(net, requests, ["distance"], variants=1)
+    found = {r.route_id: r for r in ex.routes.collect()}
+    made = ex.completions.collect()
+    assert made and all(r.route_id in found and found[r.route_id].length == pytest.approx(1000) and 950 <= found[r.parent].length < 991 for r in made)
+    assert all(found[r.parent].candidate < found[r.route_id].candidate and r.added_m == pytest.approx(1000 - found[r.parent].length) for r in made)
+    short = [r for r in found.values() if 950 <= r.length <= 990]
+    assert short and {r.route_id for r in short} <= {r.parent for r in made}
+    plain = explore.explored(net, requests, ["distance"], variants=1, complete=False)
+    assert {r.signature for r in plain.routes.collect()} == {r.signature for r in found.values()} - {found[r.route_id].signature for r in made}
     proposals, whole = completions.completed(arcs, routes_, s, net)
     got = proposals.orderBy("place").collect()
     assert 950 <= length <= 990 and [(r.route_id, r.place, r.anchors) for r in got] == [(7, 1, 2), (7, 2, 2)]
