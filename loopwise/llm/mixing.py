@@ -37,6 +37,8 @@ BLOCK_ROWS = 16
 FILL_ROWS = 32
 #: Words of a shard; of more than MOST_BLOCKS shards each holds more.
 SHARD_WORDS = 1 << 22
+#: However few the words, so many shards take them.
+LEAST_SHARDS = 8
 
 
 @F.arrow_udf(T.LongType())
@@ -96,7 +98,8 @@ class Plan:
 
 
 def _row_hash(seed: int) -> Column:
-    return F.xxhash64(F.col("doc_id").cast("string"), "source", "size", F.lit(seed))
+    """Rows without an id differ by their texts; only equal rows have one hash."""
+    return F.xxhash64(F.col("doc_id").cast("string"), "source", "size", "text_hash", F.lit(seed))
 
 
 def _fill(gap: float, rows: list[tuple[int, int]]) -> list[int]:
@@ -116,14 +119,15 @@ def _fill(gap: float, rows: list[tuple[int, int]]) -> list[int]:
 
 
 def plan(sized: DataFrame, shards: int | None = None, seed: int = 7, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> Plan:
-    """Quotas and the tree for the written `sized(doc_id, source, size)`; without
-    `shards` there is one for each SHARD_WORDS words."""
+    """Quotas and the tree for the written `sized(doc_id, source, size, text_hash)`; without
+    `shards` there is one for each SHARD_WORDS words, LEAST_SHARDS at least.  Rows
+    with and without an id are dealt out one by one; equal rows go together."""
     spark = sized.sparkSession
     stats = {r.source: (r.words or 0, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
     targets = capped_targets({s: w for s, (w, _) in stats.items()}, weights, float(cap))
     rows = max(1, sum(n for _, n in stats.values()))
     blocks = {s: max(1, min(-(-n // BLOCK_ROWS), max(BLOCKS_EACH, MOST_BLOCKS * n // rows))) for s, (_, n) in stats.items()}
-    shards = shards or max(1, min(MOST_BLOCKS, sum(w for w, _ in stats.values()) // SHARD_WORDS))
+    shards = shards or max(LEAST_SHARDS, min(MOST_BLOCKS, sum(w for w, _ in stats.values()) // SHARD_WORDS))
     sources = spark.createDataFrame([(s, stats[s][0], targets[s], blocks[s]) for s in targets], "source string, source_size long, target double, blocks int")
     placed = sized.join(F.broadcast(sources), sized.source.eqNullSafe(sources.source)).select(sized["*"], "blocks").withColumn("block", F.pmod(_row_hash(seed), F.col("blocks")).cast("int"))
     of_block = {(r.source, r.block): r.words for r in placed.groupBy("source", "block").agg(F.sum("size").alias("words")).collect()}
@@ -170,19 +174,19 @@ def plan(sized: DataFrame, shards: int | None = None, seed: int = 7, weights: tu
 
 
 def copies(sized: DataFrame, how: Plan) -> DataFrame:
-    """The rows of `sized(doc_id, source, size, ...)` with source_size, target and
+    """The rows of `sized(doc_id, source, size, text_hash, ...)` with source_size, target and
     copies: an array of (shard, place), one for each time the mix takes the row."""
     sources = how.sources.withColumnRenamed("source", "s0")
     at = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s0"))).withColumn("block", F.pmod(_row_hash(how.seed), F.col("blocks")).cast("int"))
     at = at.join(F.broadcast(how.draws), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     at = at.withColumn("h1", _row_hash(how.seed + 1)).join(F.broadcast(how.fills), F.col("source").eqNullSafe(F.col("sf")) & (F.col("h1") == F.col("hf")), "left")
     shards = F.concat("draws", F.when(F.col("fill").isNull(), F.array().cast("array<int>")).otherwise(F.array("fill")))
-    place = F.transform(shards, lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.col("doc_id").cast("string"), "size", s, i, F.lit(how.seed)).alias("place")))
+    place = F.transform(shards, lambda s, i: F.struct(s.alias("shard"), F.xxhash64(F.col("doc_id").cast("string"), "size", "text_hash", s, i, F.lit(how.seed)).alias("place")))
     return at.withColumn("copies", place).drop("s0", "s", "b", "draws", "blocks", "block", "h1", "sf", "hf", "fill")
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count("text").alias("size"))
+    return docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("text_hash"))
 
 
 def mix(docs: DataFrame, shards: int | None = None, seed: int = 7, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, into: str | None = "__shard") -> DataFrame:
@@ -202,7 +206,7 @@ def mix(docs: DataFrame, shards: int | None = None, seed: int = 7, weights: tupl
     _store.drop(spark, sized_at)
     whole = docs.select(F.struct("*").alias("row"))
     # Counted again: cheaper than another copy of the texts.
-    keys = whole.select(F.col("row").getField("doc_id").alias("doc_id"), F.col("row").getField("source").alias("source"), word_count(F.col("row").getField("text")).alias("size"), "row")
+    keys = whole.select(F.col("row").getField("doc_id").alias("doc_id"), F.col("row").getField("source").alias("source"), word_count(F.col("row").getField("text")).alias("size"), F.xxhash64(F.col("row").getField("text")).alias("text_hash"), "row")
     drawn = copies(keys, how).select("row", F.explode("copies").alias("copy"))
     shuffled = drawn.repartitionById(how.shards, F.col("copy.shard")).sortWithinPartitions("copy.place")
     columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c != into]
