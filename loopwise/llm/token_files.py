@@ -9,6 +9,7 @@ so that readers fetch some documents or the metadata columns alone.
 from __future__ import annotations
 
 import gc
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,9 +28,27 @@ CACHE_WORDS = 120_000
 #: A run of these after letters is a piece of its own.
 _TAIL = b"!#$%&*+,-./:;=?@^_~"
 
+# The rules of vocabularies whose words may be encoded one by one.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _encoders: dict[tuple[str, int], _Encoder] = {}
 
 
+def by_words(rules: dict) -> bool:
+    """Whether a vocabulary file drops white space, lower-cases, parts letters from
+    the rest and ends words as `_Encoder` takes for granted."""
+    normal, cut, model = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}, rules.get("model") or {}
+    kinds = [x.get("type") for x in normal.get("normalizers", [])]
+    blank = [(x["pattern"], x["content"]) for x in normal.get("normalizers", []) if x.get("type") == "Replace"]
+    parts = cut.get("pretokenizers", [])
+    same = kinds == _NORMAL and blank == [({"Regex": r"\s+"}, " ")] and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+    if not same or model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("dropout"):
+        return False
+    split, level = parts
+    return split["pattern"] == {"Regex": _PATTERN} and split["behavior"] == "Removed" and split["invert"] is True and not level["add_prefix_space"] and not level["use_regex"]
+
+
 def _visible() -> dict[int, int]:
     """The vocabulary's letter for each byte: bytes that print stand for
     themselves, the others for what follows 255."""
@@ -45,7 +64,8 @@ class _Encoder:
     punctuation, so the ids of a text are those of its words, those of a word of
     letters with punctuation behind it are theirs one after the other, and each is
     found once while it stays in memory.  Lower-case words of Latin letters, which
-    normalisation leaves alone, go to the library's model directly."""
+    normalisation leaves alone, go to the library's model directly.  Files with other
+    rules are told by `by_words`; their texts are encoded whole."""
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -54,6 +74,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words_part = by_words(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.visible = _visible()
         self.end = array("I", [end_id]).tobytes()
@@ -110,12 +131,16 @@ class _Encoder:
         return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.words_part:
+            found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+            return [array("I", x.ids).tobytes() + self.end for x in found]
         gc.disable()  # millions of short-lived strings, no cycles
-        split = [t.split() for t in texts]
-        get, end = self._coded(set().union(*split)).__getitem__, self.end
-        out = [b"".join([*map(get, words), end]) for words in split]
-        gc.enable()
-        return out
+        try:
+            split = [t.split() for t in texts]
+            get, end = self._coded(set().union(*split)).__getitem__, self.end
+            return [b"".join([*map(get, words), end]) for words in split]
+        finally:
+            gc.enable()
 
 
 def _encoder(path: str, end_id: int) -> _Encoder:
