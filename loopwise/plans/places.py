@@ -40,7 +40,15 @@ def online_places(spark, d):
     return places.parsed_answers(answers, _ALL)
 
 
-@query()
+_MERGED = """, it as (select s_suppkey % 5 query_id, case when s_suppkey % 3 = 0 then 0 else 1 end part, s_suppkey n, 'Place-' || s_suppkey % 7 nm, 36.0::double + s_suppkey % 13 * 0.0005::double lat, 129.3::double + s_suppkey % 3 * 0.001::double lon, s_suppkey % 3 <> 0 and s_suppkey % 4 = 0 outside from supplier),
+sq as (select *, row_number() over (partition by query_id, nm order by part, n) k from it),
+fo(query_id, nm, k, kept) as (select distinct query_id, nm, 0::bigint, []::struct(lat double, lon double, k bigint)[] from it union all
+  select fo.query_id, fo.nm, sq.k, case when part = 1 and len(list_filter(kept, lambda y: {near} < 120)) > 0 then kept else list_append(kept, {{lat: sq.lat, lon: sq.lon, k: sq.k}}) end from fo join sq on sq.query_id = fo.query_id and sq.nm = fo.nm and sq.k = fo.k + 1),
+kp as (select query_id, nm, unnest(kept).k k from (select *, row_number() over (partition by query_id, nm order by k desc) z from fo) where z = 1)
+select * from (select query_id, nm "name", lat, lon, outside, row_number() over (partition by query_id order by outside, part, n) place from kp join sq using (query_id, nm, k)) where place <= 10""".format(near=_HAVERSINE.format("y.lat", "sq.lat", "y.lon", "sq.lon"))
+
+
+@query(_MERGED)
 def merged_places(spark, d):
     k = F.col("s_suppkey")
     rows = spark.read.parquet(f"{d}/supplier.parquet").select((k % 5).alias("query_id"), k.alias("n"), F.concat(F.lit("Place-"), k % 7).alias("name"), (36.0 + k % 13 * F.lit(0.0005)).alias("lat"), (129.3 + k % 3 * F.lit(0.001)).alias("lon"), (k % 4 == 0).alias("outside"))
@@ -54,19 +62,23 @@ def nearby_roads(spark, d):
     return places.nearby_roads(R.pois(spark, d), "poi_id", places.named_roads(S.elements(spark, d)))
 
 
-@query("""select poi_id, 'https://map.kakao.com/link/map/stop%20' || poi_id || ',' || printf('%.7f', lat) || ',' || printf('%.7f', lon) link, case when poi_id * 37 < 1000 then (poi_id * 37) || 'm' else printf('%.2f', poi_id * 0.037::double) || 'km' end far from pois where poi_id % 5 <> 0""")
+@query("""select poi_id, 'https://map.kakao.com/link/map/stop%20' || poi_id || ',' || printf('%.7f', lat) || ',' || printf('%.7f', lon) link, case when poi_id * 37 < 1000 then (poi_id * 37) || 'm' else printf('%.2f', (poi_id * 37 + 0.3::double) / 1000) || 'km' end far from pois""")
 def point_links(spark, d):
     k = F.col("poi_id")
-    return R.pois(spark, d).where("poi_id % 5 <> 0").select("poi_id", places.map_link(F.col("lat"), F.col("lon"), F.concat(F.lit("stop "), k)).alias("link"), guide.format_distance((k * 37).cast("double")).alias("far"))
+    return R.pois(spark, d).select("poi_id", places.map_link(F.col("lat"), F.col("lon"), F.concat(F.lit("stop "), k)).alias("link"), guide.format_distance(k * 37 + F.lit(0.3)).alias("far"))
 
 
 @query(""", rp as (select poi_id, lat, lon, 1.0::double + poi_id % 23 * 0.5::double km, floor(lat * 200 + 0.5) / 200 y, floor(lon * 200 + 0.5) / 200 x from pois),
 rq as (select *, (greatest(1.0::double, km * 0.6::double + 0.3::double) + 0.4::double) / 111.32::double dy from rp), rb as (select *, dy / cos(radians(y)) dx from rq)
-select poi_id, floor((y - dy) * 1000000 + 0.5) / 1000000 south, floor((x - dx) * 1000000 + 0.5) / 1000000 west, floor((y + dy) * 1000000 + 0.5) / 1000000 north, floor((x + dx) * 1000000 + 0.5) / 1000000 east, true fits from rb""")
+select poi_id, floor((y - dy) * 1000000 + 0.5) / 1000000 south, floor((x - dx) * 1000000 + 0.5) / 1000000 west, floor((y + dy) * 1000000 + 0.5) / 1000000 north, floor((x + dx) * 1000000 + 0.5) / 1000000 east, lat2 - mg >= floor((y - dy) * 1000000 + 0.5) / 1000000 and lat2 + mg <= floor((y + dy) * 1000000 + 0.5) / 1000000 and lon - mg / cos(radians(lat2)) >= floor((x - dx) * 1000000 + 0.5) / 1000000 and lon + mg / cos(radians(lat2)) <= floor((x + dx) * 1000000 + 0.5) / 1000000 fits
+from (select *, lat + poi_id % 11 * 0.0011::double lat2, case when poi_id % 4 = 0 then 0 else (km * 0.6::double + 0.2::double) / 111.32::double end mg from rb)""")
 def region_boxes(spark, d):
     rows = R.pois(spark, d).select("poi_id", "lat", "lon", (1.0 + F.col("poi_id") % 23 * F.lit(0.5)).alias("km"))
     boxes = tiles.region_boxes(rows)
-    fits = tiles.contains(*map(F.col, ["lat", "lon", "km", "south", "west", "north", "east"]))
+    # Another place up to a kilometre north, for a route as long or for itself.
+    k = F.col("poi_id")
+    there = F.col("lat") + k % 11 * F.lit(0.0011)
+    fits = tiles.contains(there, F.col("lon"), F.when(k % 4 != 0, F.col("km")).otherwise(0.0), *map(F.col, ["south", "west", "north", "east"]))
     return rounded(boxes.select("poi_id", "south", "west", "north", "east", fits.alias("fits")))
 
 

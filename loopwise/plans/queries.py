@@ -175,7 +175,7 @@ def poi_edges(spark, d):
 
 # The same streets at other latitudes, as wide in metres.
 _LATITUDES = {0: 0.8090169943749475, 36: 1.0, 60: 1.6180339887498949, 79: 4.239942131217364}
-_MOVED = "moved as (select * from (values {}) v(deg, wider)), mp as (select poi_id, deg, lat - 36 + deg lat, 129 + (lon - 129) * wider lon from pois, moved), me as (select edge_id, deg, lat1 - 36 + deg lat1, 129 + (lon1 - 129) * wider lon1, lat2 - 36 + deg lat2, 129 + (lon2 - 129) * wider lon2 from edges, moved)".format(", ".join(f"({k}, {v})" for k, v in _LATITUDES.items()))
+_MOVED = "mv as (select * from (values {}) v(deg, wider)), mp as (select poi_id, deg, lat - 36 + deg lat, 129 + (lon - 129) * wider lon from pois, mv), me as (select edge_id, deg, lat1 - 36 + deg lat1, 129 + (lon1 - 129) * wider lon1, lat2 - 36 + deg lat2, 129 + (lon2 - 129) * wider lon2 from edges, mv)".format(", ".join(f"({k}, {v})" for k, v in _LATITUDES.items()))
 
 
 @query(f", {_MOVED} select deg::bigint deg, poi_id, edge_id, round({_ON}, 6) distance from (select *, {_T} t from mp join me using (deg) where abs(lat - (lat1 + lat2) / 2) < 0.005) where {_ON} <= 120")
@@ -357,3 +357,27 @@ def shortest_tree(spark, d):
     trees = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("tree_id"), (F.col("n_nationkey").cast("bigint") * 4).alias("start"), F.lit("distance").alias("profile"), F.lit(1200.0).alias("max_length"))
     labels, _ = paths.shortest_trees(arcs, trees)
     return labels.select(F.col("tree_id").alias("run_id"), "node", "cost")
+
+
+@query(""", nt as (select n_nationkey::bigint run, n_nationkey::bigint * 4 at0 from nation),
+ar as (select edge_id, u, v, length, edge_id % 13 = 0 steps from edges union all select edge_id, v, u, length, edge_id % 13 = 0 from edges),
+lab(run, v, cost, len, prev, edge, it) as (select run, at0, 0.0::double, 0.0::double, null::bigint, null::bigint, 0 from nt union all
+  select run, v, s.cost, s.len, s.prev, s.edge, it from (
+    select t.run, ar.v, min(struct_pack(cost := t.cost + case when ar.edge_id % 7 = t.run % 7 then ar.length * 2.5::double else ar.length end, edge := ar.edge_id, prev := t.v, len := t.len + ar.length)) s, t.it + 1 it
+    from lab t join ar on ar.u = t.v join nt on nt.run = t.run where it < 40 and ar.v <> at0 and t.len + ar.length <= 900 and not (steps and t.run % 2 = 0) and ar.edge_id % 31 <> t.run % 31 group by t.run, ar.v, t.it
+    union all select nt.run, at0, struct_pack(cost := 0.0::double, edge := null::bigint, prev := null::bigint, len := 0.0::double), it + 1 from (select distinct run, it from lab where it < 40) r join nt on nt.run = r.run))
+select run run_id, v node, round(cost, 6) cost, round(len, 6) length, prev, edge edge_id from lab where it = 40""")
+def search_trees(spark, d):
+    """Trees from each nation's node with dear and banned edges, some without steps,
+    across blocks of streets; a label counts by the length of the cheapest way."""
+    e = R.edges(spark, d).select(F.col("edge_id").cast("long").alias("edge_id"), "u", "v", "length")
+    both = e.select("u", "v", "edge_id", "length").union(e.select("v", "u", "edge_id", "length"))
+    arcs = both.select("*", F.lit("plain").alias("profile"), F.col("length").alias("cost"), (F.col("edge_id") % 13 == 0).alias("steps"))
+    run = F.col("n_nationkey").cast("long")
+    trees = spark.read.parquet(f"{d}/nation.parquet").select(run.alias("tree_id"), (run * 4).alias("start"), F.lit("plain").alias("profile"), F.lit(900.0).alias("max_length"), (run % 2 == 0).alias("avoid_steps"), F.lit(2.5).alias("penalty"))
+    of = lambda m, name: e.groupBy((F.col("edge_id") % m).alias("r")).agg(F.collect_list("edge_id").alias(name))
+    trees = trees.join(of(7, "penalized"), F.col("tree_id") % 7 == F.col("r"), "left").drop("r").join(of(31, "banned"), F.col("tree_id") % 31 == F.col("r"), "left").drop("r")
+    none = F.array().cast("array<long>")
+    trees = trees.withColumns({c: F.coalesce(c, none) for c in ("penalized", "banned")})
+    labels, _ = paths.shortest_trees(arcs, trees, None, paths.blocks(R.nodes(spark, d)))
+    return _rounded(labels.select(F.col("tree_id").alias("run_id"), "node", "cost", "length", "prev", "edge_id"))
