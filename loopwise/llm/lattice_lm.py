@@ -173,6 +173,19 @@ def _logs(weights: np.ndarray) -> np.ndarray:
     return np.append(np.log(weights), -np.inf)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of so many words or bytes: small ones would leave few words of each
+    length to go through together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _blocks(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, bytes) of the words of each length, a blank before each, in blocks of
     bounded size."""
@@ -267,7 +280,7 @@ def _expected(words: DataFrame, pieces: list[bytes], weights: np.ndarray) -> np.
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, sums = lattices(pieces), np.zeros((n, len(pieces)))
-        for batch in batches:
+        for batch in _gathered(batches):
             counts = [batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(n)]
             for rows, data in _blocks(batch.column("word")):
                 arcs = found.arcs(data)
@@ -310,7 +323,7 @@ def scored_words(words: DataFrame, m: Model) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lattices(m.pieces)
-        for batch in batches:
+        for batch in _gathered(batches):
             counts = np.stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(n)])
             ways = np.zeros((n, batch.num_rows))
             ways[:] = -np.inf
