@@ -13,6 +13,7 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +68,14 @@ class _Encoder:
     normalisation leaves alone, go to the library's model directly.  Files with other
     rules are told by `by_words`; their texts are encoded whole."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, words_part: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words_part = by_words(json.loads(self.tokenizer.to_str()))
+        self.words_part = words_part
         self.model = self.tokenizer.model
         self.visible = _visible()
         self.end = array("I", [end_id]).tobytes()
@@ -143,10 +144,10 @@ class _Encoder:
             gc.enable()
 
 
-def _encoder(path: str, end_id: int) -> _Encoder:
+def _encoder(path: str, end_id: int, words_part: bool) -> _Encoder:
     """One per worker process: later tasks find the words of earlier ones."""
     if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = _Encoder(path, end_id)
+        _encoders[path, end_id] = _Encoder(path, end_id, words_part)
     return _encoders[path, end_id]
 
 
@@ -179,9 +180,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
     files without rows.  A file's rows carry doc_id, n_tokens (with the end id),
     local_start (ids before it in the file) and ids."""
     schema = docs.select("doc_id").schema
+    # Read here and once: a vocabulary as Python objects would stay in every worker's memory.
+    words_part = by_words(json.loads(Path(tokenizer).read_text()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = _encoder(tokenizer, end_id), 0
+        encode, start = _encoder(tokenizer, end_id, words_part), 0
         for batch in batches:
             at = 0
             for part in _batched(batch.column(1)):
