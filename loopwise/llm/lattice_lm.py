@@ -44,7 +44,7 @@ LANGUAGES = 8
 #: Words that a broadcast may hold.
 HEAVY = 200_000
 #: Cells (word bytes) of a block inside a task.
-CELLS = 1 << 18
+CELLS = 1 << 16
 
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _MANY = np.uint64(0x9E3779B97F4A7C15)
@@ -173,7 +173,7 @@ def _logs(weights: np.ndarray) -> np.ndarray:
     return np.append(np.log(weights), -np.inf)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 40_000, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of so many words or bytes: small ones would leave few words of each
     length to go through together."""
     held: list[pa.RecordBatch] = []
