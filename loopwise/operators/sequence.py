@@ -15,6 +15,10 @@ def _columns() -> dict:
     return {c: F.col(c) for c in _COLUMNS}
 
 
+#: Metres of a street on which routes are compared together.
+STRETCH = 50.0
+
+
 def route_evidence(segments: DataFrame) -> DataFrame:
     """Metres of each kind of evidence per route, the longest walk and the bonus
     that they earn; what is unknown counts for nothing."""
@@ -173,12 +177,17 @@ def coverage_sweep(segments: DataFrame) -> DataFrame:
 
 def similar_pairs(coverage: DataFrame) -> DataFrame:
     """Shared metres and Dice similarity of every two routes of one request that
-    share any; pairs that share none don't appear."""
+    share any; pairs that share none don't appear.
+
+    Intervals meet by stretches of a segment, and two of them count in the stretch
+    where the later one begins: users of one long street meet only where they are
+    near each other on it."""
     metres = (F.col("hi") - F.col("lo")) * F.col("times")
     totals = coverage.groupBy("route_id").agg(F.sum(metres).alias("total"))
-    a = coverage.select("request_id", "physical_id", F.col("route_id").alias("a"), "lo", "hi", "times")
-    b = coverage.select("request_id", "physical_id", F.col("route_id").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("times").alias("times2"))
-    met = a.join(b, ["request_id", "physical_id"]).where("a < b and lo < hi2 and lo2 < hi")
+    stretch = F.explode(geo.cells(F.col("lo"), F.col("hi"), STRETCH)).alias("stretch")
+    a = coverage.select("request_id", "physical_id", stretch, F.col("route_id").alias("a"), "lo", "hi", "times")
+    b = coverage.select("request_id", "physical_id", stretch, F.col("route_id").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("times").alias("times2"))
+    met = a.join(b, ["request_id", "physical_id", "stretch"]).where("a < b and lo < hi2 and lo2 < hi").where(F.floor(F.greatest("lo", "lo2") / STRETCH) == F.col("stretch"))
     shared = met.groupBy("request_id", "a", "b").agg(F.sum((F.least("hi", "hi2") - F.greatest("lo", "lo2")) * F.least("times", "times2")).alias("shared_m"))
     both = shared.join(totals.select(F.col("route_id").alias("a"), F.col("total").alias("total_a")), "a").join(totals.select(F.col("route_id").alias("b"), F.col("total").alias("total_b")), "b")
     return both.withColumn("dice", F.least(F.lit(1.0), 2 * F.col("shared_m") / (F.col("total_a") + F.col("total_b"))))

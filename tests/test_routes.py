@@ -175,3 +175,15 @@ def test_no_penalty_without_a_contained_route(spark):
     pairs = spark.createDataFrame([(2, 3, 2500.0, 2500.0, 2600.0)], "a long, b long, shared_m double, total_a double, total_b double")
     got = {r.route_id: r.penalty for r in ranking.subset_penalty(routes_, pairs, 2000.0).collect()}
     assert got == {1: 0.0, 2: 0.0, 3: pytest.approx(150 * 100 / 2000)}
+
+
+def test_pairs_on_a_long_street(spark):
+    """Routes far apart on one street share nothing; overlaps across stretches count once."""
+    rows = [(1, "s", i, lo, hi, t) for i, (lo, hi, t) in enumerate([(0.0, 120.0, 1), (50.0, 60.0, 2), (49.0, 1000.0, 2), (990.0, 2000.0, 1), (1000.0, 1000.0, 1), (100.0, 150.0, 1), (2500.0, 2600.0, 1)])] + [(2, "s", 9, 0.0, 3000.0, 1)]
+    got = {(r.a, r.b): r.shared_m for r in sequence.similar_pairs(spark.createDataFrame(rows, "request_id long, physical_id string, route_id long, lo double, hi double, times int")).collect()}
+    want = {}
+    for q, _, a, lo, hi, t in rows:
+        for q2, _, b, lo2, hi2, t2 in rows:
+            if q == q2 and a < b and lo < hi2 and lo2 < hi:
+                want[a, b] = (min(hi, hi2) - max(lo, lo2)) * min(t, t2)
+    assert got == want
