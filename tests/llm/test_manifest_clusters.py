@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from loopwise.llm import centroids, merkle
@@ -111,6 +112,46 @@ def test_forests_join_in_any_order():
     assert len(roots) == 1
 
 
+def test_fragments_are_joined_by_tree_reduce(spark, monkeypatch):
+    """One RDD.treeReduce over the fragments of all partitions gives the root and
+    every way to it that a partition does not have itself; merging happens nowhere else."""
+    monkeypatch.setattr(merkle, "LEAVES", 20)
+    monkeypatch.setattr(merkle, "FAN", 2)
+    plain, calls = RDD.treeReduce, []
+    monkeypatch.setattr(RDD, "treeReduce", lambda rdd, f, depth=2: calls.append((rdd, f, depth, plain(rdd, f, depth))) or calls[-1][3])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    rows = merkle.manifest(spark.createDataFrame(docs_rows(), DOCS)).collect()
+    spark.conf.unset(key)
+    assert len(calls) == 1
+    rdd, joined, depth, whole = calls[0]
+    parts = rdd.collect()
+    assert len(parts) > 20 and rdd.getNumPartitions() > 2 and depth == 2 and joined is merkle.Forest.joined
+    assert {r.root for r in rows} == {whole.root} and len(list(whole.open())) == 1
+    top = next(whole.open())[0]
+    for part in parts:
+        for node, value in part.open():
+            end, steps = whole.path(node)
+            assert end == top and merkle.folded(value, steps) == whole.root
+
+
+def test_every_row_is_folded_to_the_reduced_root(spark, monkeypatch):
+    """Rows as they were are recomputed from their leaves too, so a wrong root shows in all."""
+    reduced = merkle.tree_reduced
+
+    def wrong(*args):
+        whole = reduced(*args)
+        whole.root = "0" * 64
+        return whole
+
+    monkeypatch.setattr(merkle, "tree_reduced", wrong)
+    monkeypatch.setattr(merkle, "LEAVES", 20)
+    docs = spark.createDataFrame([(i, "s", "en" if i % 3 else None, 1, "text", "p", 1) for i in range(90)], DOCS)
+    rows = merkle.manifest(docs).collect()
+    assert len(rows) == 90 and len({r.folded_root for r in rows}) == 1
+    assert all(r.root == "0" * 64 and r.folded_root != r.root and not r.verified for r in rows)
+
+
 def plain_lloyd(rows, k, rounds, salt="3"):
     limit = 1 << 27
     kept = [(i, [math.floor(max(-limit, min(limit, float(x) * 1024))) for x in v]) for i, v in rows if v is not None and len(v) == 3 and all(x is not None and math.isfinite(x) for x in v)]
