@@ -128,11 +128,13 @@ def merged(local: DataFrame, online: DataFrame, limit: int = 10, near: float = 1
 
 
 def named_roads(elements: DataFrame) -> DataFrame:
-    """road_seq, name, lat1, lon1, lat2, lon2: the segments of named ways."""
+    """road_seq, name, lat1, lon1, lat2, lon2: the segments of named ways, over
+    points that aren't known but not over breaks (see `tiles`)."""
     ways = elements.where("type = 'way' and size(geometry) > 1").where(F.coalesce(E.tag("tags", "highway") != "", F.lit(False)) & F.coalesce(E.tag("tags", "name") != "", F.lit(False)))
-    g = F.filter("geometry", lambda p: p.isNotNull())
+    paired = F.coalesce(F.size("nodes") == F.size("geometry"), F.lit(False))
+    g = F.filter("geometry", lambda p, i: p.isNotNull() | (paired & F.get("nodes", i).isNull()))
     part = F.transform(F.sequence(F.lit(1), F.greatest(F.size("g") - 1, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.get("g", i - 1).alias("p"), F.get("g", i).alias("q")))
-    rows = ways.withColumn("g", g).where("size(g) > 1").select("ordinal", E.tag("tags", "name").alias("name"), F.inline(part))
+    rows = ways.withColumn("g", g).where("size(g) > 1").select("ordinal", E.tag("tags", "name").alias("name"), F.inline(part)).where("p is not null and q is not null")
     return rows.select((F.col("ordinal") * (1 << 20) + F.col("pos")).alias("road_seq"), "name", F.col("p.lat").alias("lat1"), F.col("p.lon").alias("lon1"), F.col("q.lat").alias("lat2"), F.col("q.lon").alias("lon2"))
 
 
