@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loopwise.operators import places
+from loopwise.sources import tiles
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +38,25 @@ def as_sql(name, d, got):
     return Counter(map(tuple, got.select(*[f"`{c}`" for c in names]).collect())), Counter(rows.fetchall())
 
 
-@pytest.mark.parametrize("name", ["network_edges", "network_stats", "nearby_roads"])
+@pytest.mark.parametrize("name", ["element_tiles", "network_edges", "network_stats", "nearby_roads", "region_elements"])
 def test_ways_in_several_columns(spark, far, name):
     got, wanted = as_sql(name, far, entry.queries()[name](spark, far))
     assert got == wanted
+
+
+def test_breaks_of_ways(spark):
+    """A break is no segment, in tiles, packs and named roads; a point that isn't
+    known drops its way."""
+    kind = "type string, id long, ordinal long, tags map<string,string>, lat double, lon double, nodes array<long>, geometry array<struct<lat:double,lon:double>>, bounds struct<minlat:double,minlon:double,maxlat:double,maxlon:double>"
+    ends = [(36.01, 129.31), (36.02, 129.31), None, (38.01, 129.31), (38.02, 129.31)]
+    tags = {"highway": "footway", "name": "x"}
+    rows = spark.createDataFrame([("way", 1, 1, tags, None, None, [1, 2, None, 3, 4], ends, None), ("way", 2, 2, tags, None, None, [1, 2, 9, 3, 4], ends, None)], kind)
+    assert sorted(r.ty for r in tiles.in_tiles(tiles.relevant(rows)).collect()) == [720, 760]
+    back = tiles.decoded(tiles.packed(tiles.relevant(rows).drop("area"))).first()
+    assert back.nodes == [1, 2, None, 3, 4] and [p and (p.lat, p.lon) for p in back.geometry] == ends
+    assert tuple(back.bounds) == (36.01, 129.31, 38.02, 129.31)
+    roads = places.named_roads(rows).groupBy((F.col("road_seq") / (1 << 20)).cast("int").alias("w")).agg(F.count("*").alias("n")).collect()
+    assert sorted(map(tuple, roads)) == [(1, 2), (2, 3)]
+    bad = spark.createDataFrame([("way", 1, 1, {}, None, None, [5, None, 1], [1, 2, 3, 4, 5, 6], None)], tiles.PACKED)
+    with pytest.raises(Exception, match="large"):
+        tiles.decoded(bad).collect()
