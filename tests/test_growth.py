@@ -60,3 +60,11 @@ def test_breaks_of_ways(spark):
     bad = spark.createDataFrame([("way", 1, 1, {}, None, None, [5, None, 1], [1, 2, 3, 4, 5, 6], None)], tiles.PACKED)
     with pytest.raises(Exception, match="large"):
         tiles.decoded(bad).collect()
+
+
+def test_pixels_of_all_customers(spark, tmp_path):
+    old = spark.read.parquet(f"{SF}/customer.parquet").where("c_custkey = 0").drop("c_custkey")
+    keys = [0, 299, 300, 899_999, 5_399_999]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").crossJoin(old).write.parquet(f"{tmp_path}/customer.parquet")
+    got = entry.queries()["terrain_pixels"](spark, str(tmp_path)).collect()
+    assert sorted((r.c_custkey, r.ix, r.iy) for r in got) == [(k, k % 300, k // 300) for k in keys]
